@@ -21,7 +21,7 @@ def create(folder: str, name: str):
     """A new file to write to; the folder is made if need be."""
     system, path = place(folder)
     system.create_dir(path, recursive=True)
-    return system.open_output_stream(f"{path}/{name}")
+    return system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def reader(folder: str, name: str):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
+from . import packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
 from .common import fold_of, table
 from .tokens import public
 
@@ -37,6 +37,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.capture_history(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), max_docs=10, least_kept=0.3)
 
@@ -46,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_frequency_rules": quality_rules.ORACLE_SQL}
+    return {"op7_warc_index": warc.ORACLE_SQL, "op8_line_frequency_rules": quality_rules.ORACLE_SQL}
