@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
+from . import decontamination, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
 from .common import fold_of, table
 from .tokens import public
 
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"), folds=5)
@@ -46,9 +50,13 @@ def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), max_docs=10, least_kept=0.3)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_index": warc.ORACLE_SQL, "op8_line_frequency_rules": quality_rules.ORACLE_SQL}
+    return {"op4_license_scan": license_scan.oracle_sql(), "op7_warc_index": warc.ORACLE_SQL, "op8_line_frequency_rules": quality_rules.ORACLE_SQL}
