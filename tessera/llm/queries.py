@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
+from . import decontamination, license_scan, ngram_lm, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
 from .common import fold_of, table
 from .tokens import public
 
@@ -50,6 +50,14 @@ def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), max_docs=10, least_kept=0.3)
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    model = ngram_lm.train(docs, ~held_out)
+    scored = ngram_lm.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
