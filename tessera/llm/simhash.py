@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import stored, text_key, text_of
 from .graph import components
+from .textscan import LOWER, mix, pieces, word_bounds, word_hashes
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -108,3 +109,135 @@ def near_duplicates(
     classes = distinct.join(member.select("fp", "root").join(named, "root").drop("root"), "fp", "left")
     classes = classes.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
+
+
+# Near duplicates by shingle similarity: SimHash proposes, the shingles decide.
+
+
+def _word_prints(texts: pa.Array, tables: int) -> np.ndarray:
+    """(texts, tables) fingerprints of the words of each text, repeats included, one by each of several hash functions."""
+    out = np.zeros((len(texts), tables), np.uint64)
+    for lo, hi, data, starts, ends in pieces(texts):
+        data = LOWER[data]
+        first, last, doc = word_bounds(data, starts, ends)
+        hashes = word_hashes(data, first, last)
+        bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
+        for t in range(tables):
+            cells = mix(hashes + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8).reshape(-1, 8) + _BYTE_BASE
+            for i in range(hi - lo):
+                a, b = bounds[i], bounds[i + 1]
+                if a < b:
+                    ones = np.bincount(cells[a:b].ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
+                    out[lo + i, t] = int.from_bytes(np.packbits(2 * ones > b - a).tobytes(), "big")
+    return out
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (lower-cased A-Z); a shorter text is one shingle."""
+    data = LOWER[np.frombuffer(text, np.uint8)]
+    first, last, _ = word_bounds(data, np.array([0]), np.array([len(data)]))
+    words = word_hashes(data, first, last)
+    if not len(words):
+        return words
+    k = min(shingle, len(words))
+    out = np.zeros(len(words) - k + 1, np.uint64)
+    for i in range(k):
+        out = mix(out * np.uint64(0xD1342543DE82EF95) + words[i : i + len(out)])
+    return np.unique(out)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _proposals(prints: DataFrame, table: int, radius: int) -> DataFrame:
+    """(th, other): for each text, earlier ones that head a bucket which its fingerprint falls into.
+
+    Texts of one fingerprint are one entry in the buckets, headed by the earliest of
+    them, so a bucket holds no more than a ball of fingerprints.
+    """
+    own = prints.select("th", "place", F.col(f"f{table}").alias("fp"))
+    heads = own.groupBy("fp").agg(F.min(F.struct("place", "th")).alias("head"))
+    heads = stored(heads, "heads")
+    variants = heads.select("fp", F.col("head.place").alias("place"), F.explode(_ball(radius // 2)).alias("_mask"))
+    variants = variants.select("fp", "place", F.col("fp").bitwiseXOR(F.col("_mask")).alias("_variant"))
+    least = F.min(F.struct("place", F.col("fp").alias("u"))).over(Window.partitionBy("_variant"))
+    edges = variants.select("fp", least.alias("_least")).select("fp", F.col("_least.u").alias("u")).where("fp <> u").distinct()
+    heads_of = heads.select(F.col("fp").alias("u"), F.col("head.th").alias("other"))
+    reached = edges.join(heads_of, "u").select("fp", "other").unionByName(heads.select("fp", F.col("head.th").alias("other")))
+    return own.join(reached, "fp").where("th <> other").select("th", "other")
+
+
+def _similar(similarity: float):
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (1, 2))
+            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["th"])
+
+    return run
+
+
+def first_of_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    tables: int = 4, radius: int = 2,
+) -> DataFrame:
+    """The rows that have no earlier near copy: of each group of similar texts, the one with the smallest id.
+
+    Texts are similar if the Jaccard similarity of their sets of word shingles is at
+    least `similarity`. Candidates meet by ball hashing of word fingerprints under
+    `tables` hash functions: edits move few bits of those, where a fingerprint of
+    five-word shingles at similarity 0.8 would be ten bits away and no ball reach it. A
+    text's candidates are tried in order of id, twice as many in each round, until one
+    is similar or none is left; no candidate is passed over for its number.
+
+    Of equal texts the row with the smallest id stays, of repeated rows one (a null id
+    comes last). Null texts count as empty; texts without words are similar to each
+    other. Columns are unchanged; an empty table stays empty.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    key = text_key(text_of(text_col))
+    row = F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    texts = docs.groupBy(key.alias("th")).agg(F.min(row).alias("_row"))
+    body = f"_row._c{names.index(text_col)}"
+
+    def prints(batches):
+        for batch in batches:
+            found = _word_prints(batch.column(2).cast(pa.binary()), tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(found[:, t])) for t in range(tables)]], names=["th", "place", *[f"f{t}" for t in range(tables)]])
+
+    place = F.struct(F.col("_row._none").alias("none"), F.col("_row._id").cast("string").alias("id")) if docs.schema[id_col].dataType.simpleString() == "string" else F.coalesce(F.col("_row._id").cast("long"), F.lit((1 << 63) - 1))
+    plain = texts.select("th", place.alias("place"), text_of(F.col(body)).alias("_text"))
+    kind = plain.schema["place"].dataType.simpleString()
+    marked = stored(plain.mapInArrow(prints, f"th binary, place {kind}, " + ", ".join(f"f{t} long" for t in range(tables))), "word-prints")
+    found = None
+    for t in range(tables):
+        some = _proposals(marked, t, radius)
+        found = some if found is None else found.unionByName(some)
+    where = marked.select(F.col("th").alias("other"), F.col("place").alias("_other"))
+    pairs = found.distinct().join(marked.select("th", "place"), "th").join(where, "other").where((F.col("_other") < F.col("place")) | ((F.col("_other") == F.col("place")) & (F.col("other") < F.col("th"))))
+    order = F.row_number().over(Window.partitionBy("th").orderBy("_other", "other"))
+    pairs = stored(pairs.select("th", "other", order.alias("turn")), "candidates")
+    involved = pairs.select("th").unionByName(pairs.select(F.col("other").alias("th"))).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            values = [shingle_set(t, shingle).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["th", "shingles"])
+
+    shingles = stored(plain.join(involved, "th").select("th", "_text").mapInArrow(sets, "th binary, shingles binary"), "shingles")
+    mine, others = shingles.withColumnRenamed("shingles", "a"), shingles.select(F.col("th").alias("other"), F.col("shingles").alias("b"))
+    longest = pairs.agg(F.max("turn")).first()[0] or 0
+    later = spark.createDataFrame([], "th binary")
+    done, step = 0, 1
+    while done < longest:
+        todo = pairs.where((F.col("turn") > done) & (F.col("turn") <= done + step)).join(later, "th", "left_anti")
+        hits = todo.join(mine, "th").join(others, "other").select("th", "a", "b").mapInArrow(_similar(similarity), "th binary")
+        later = stored(later.unionByName(hits.distinct()), "later-copies")
+        done, step = done + step, 2 * step
+    stay = texts.join(later, "th", "left_anti")
+    return stay.select(*[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(names)])
