@@ -5,9 +5,10 @@ hashes of its anchors (see `anchors`), counted over the whole corpus; only ancho
 whose k-gram occurs again go on. Their contexts are dealt out by k-gram, and within
 each task stream in batches into a `SuffixFamily`. A k-gram with more than
 `hot` occurrences would make one task's group grow with the corpus; the windows
-around its anchors are hashed (128 bits) and counted by a map-side combined
-aggregation instead, which gives the same answer. What is repeated comes back to the
-texts as spans.
+around its anchors are hashed (128 bits) instead: a task settles those it has twice
+itself and sends one row for each, so that a window costs a row a task however often
+it occurs, and those that several tasks sent are repeated too. The answer is the same.
+What is repeated comes back to the texts as spans.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .anchors import Anchors
 from .common import stored, text_key, text_of
 from .suffix_family import SuffixFamily, runs
+from .textscan import pieces
 
 #: Bytes of text that one vectorised scan takes together; a longer text is scanned by itself, in blocks.
 _TOGETHER = 1 << 21
@@ -29,18 +31,6 @@ _TOGETHER = 1 << 21
 _BATCH = 8192
 
 
-def _pieces(texts: pa.Array):
-    """(first row, last row + 1, bytes, starts, ends): consecutive texts of a batch, taken together."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _TOGETHER, "right")) - 1)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at:to] - offsets[at], offsets[at + 1 : to + 1] - offsets[at]
-        at = to
-
-
 def _binary(column) -> pa.Array:
     return column.cast(pa.binary())
 
@@ -49,7 +39,7 @@ def _emit_anchors(length: int, k: int):
     def run(batches):
         scan = Anchors(length, k).scan
         for batch in batches:
-            for lo, _, data, starts, ends in _pieces(_binary(batch.column(1))):
+            for lo, _, data, starts, ends in pieces(_binary(batch.column(1)), _TOGETHER):
                 found = scan(data, starts, ends)
                 if not len(found.key):
                     continue
@@ -66,41 +56,115 @@ def _emit_anchors(length: int, k: int):
     return run
 
 
+#: Rows of the contexts' table: an anchor's context; a window around a hot anchor; a window
+#: whose occurrences in its task are settled already; a settled run of windows (at, h1).
+_CONTEXT, _WINDOW, _SETTLED, _RUN = range(4)
+_CONTEXT_SCHEMA = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("th", pa.binary()), ("at", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary())])
+_CONTEXT_SQL = "kind int, h1 long, h2 long, th binary, at long, suffix binary, before binary"
+#: Windows around hot anchors that a task settles together.
+_WINDOWS = 1 << 20
+
+
+def _equal_pairs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start of each group in it, size of each row's group in it) of equal pairs."""
+    order = np.lexsort((h2, h1))
+    a, b = h1[order], h2[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    size = np.diff(np.append(first, len(a)))
+    return order, first, np.repeat(size, size)
+
+
+def _runs_of(owner: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) of the runs that windows at consecutive positions cover."""
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + 1))))
+    last = np.append(new[1:], len(at)) - 1
+    return owner[new], at[new], at[last] + length if len(at) else at
+
+
+class _HotWindows:
+    """Windows around hot anchors, each sent on once for all its occurrences in a task."""
+
+    def __init__(self, length: int):
+        self.length, self.texts, self.held, self.size = length, [], [], 0
+
+    def add(self, th: bytes, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        self.held.append((h1, h2, np.full(len(at), len(self.texts)), at))
+        self.texts.append(th)
+        self.size += len(at)
+
+    def flush(self):
+        if not self.size:
+            return
+        h1, h2, owner, at = (np.concatenate(x) for x in zip(*self.held))
+        order, first, size = _equal_pairs(h1, h2)
+        here = order[size > 1]
+        one = order[first]
+        texts = pa.array(self.texts, pa.binary())
+        run_owner, start, end = _runs_of(owner[here], at[here], self.length)
+        for kind, a, b, who, where in (
+            (np.where(size[first] > 1, _SETTLED, _WINDOW), h1[one].view(np.int64), h2[one].view(np.int64), owner[one], at[one]),
+            (np.full(len(start), _RUN), end, np.zeros(len(start), np.int64), run_owner, start),
+        ):
+            n = len(where)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kind, pa.int32()), pa.array(a), pa.array(b), texts.take(pa.array(who)), pa.array(where), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                schema=_CONTEXT_SCHEMA,
+            )
+        self.texts, self.held, self.size = [], [], 0
+
+
 def _emit_contexts(length: int, k: int):
-    """Rows of kind 0: an anchor's context; of kind 1: the hashes of a window around a hot anchor."""
-    schema = pa.schema([("hot", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("th", pa.binary()), ("at", pa.int64()), ("suffix", pa.binary()), ("before", pa.binary())])
+    names = _CONTEXT_SCHEMA.names
 
     def run(batches):
-        anchors = Anchors(length, k)
+        anchors, windows = Anchors(length, k), _HotWindows(length)
         for batch in batches:
             cold, hot = batch.column(2), batch.column(3)
-            for lo, hi, data, starts, ends in _pieces(_binary(batch.column(1))):
-                found = anchors.scan(data, starts, ends, windows=bool(sum(len(hot[i]) for i in range(lo, hi))))
+            for lo, hi, data, starts, ends in pieces(_binary(batch.column(1)), _TOGETHER):
+                found = anchors.scan(data, starts, ends, windows=any(len(hot[i]) for i in range(lo, hi)))
                 bounds = np.searchsorted(found.position, np.append(starts, len(data)))
-                rows = {name: [] for name in schema.names}
-                blob, windows = data.tobytes(), []
+                rows = {name: [] for name in names}
+                blob = data.tobytes()
                 for i in range(lo, hi):
+                    th = batch.column(0)[i].as_py()
                     a, b = bounds[i - lo], bounds[i - lo + 1]
                     position, key = found.position[a:b], found.key[a:b].view(np.int64)
                     start, end = int(starts[i - lo]), int(ends[i - lo])
                     wanted = np.isin(key, cold[i].values.to_numpy(zero_copy_only=False))
                     for p, x in zip(position[wanted].tolist(), key[wanted].tolist()):
-                        for name, value in zip(schema.names, (False, x, 0, batch.column(0)[i].as_py(), p - start, blob[p : min(p + length, end)], blob[max(start, p - length + k) : p][::-1])):
+                        for name, value in zip(names, (_CONTEXT, x, 0, th, p - start, blob[p : min(p + length, end)], blob[max(start, p - length + k) : p][::-1])):
                             rows[name].append(value)
                     if len(hot[i]):
                         chosen = position[np.isin(key, hot[i].values.to_numpy(zero_copy_only=False))]
                         l2, h2 = np.searchsorted(found.window_start, (start, end))
-                        own = np.isin(found.window_anchor[l2:h2], chosen)
-                        windows.append((batch.column(0)[i].as_py(), start, found.window_start[l2:h2][own]))
+                        at = found.window_start[l2:h2][np.isin(found.window_anchor[l2:h2], chosen)]
+                        windows.add(th, at - start, *anchors.window_hashes(data, at))
+                        if windows.size >= _WINDOWS:
+                            yield from windows.flush()
                 if rows["th"]:
-                    yield pa.RecordBatch.from_pydict(rows, schema=schema)
-                for th, start, at in windows:
-                    h1, h2 = anchors.window_hashes(data, at)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(n, bool)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([th] * n, pa.binary()), pa.array(at - start), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
-                        schema=schema,
-                    )
+                    yield pa.RecordBatch.from_pydict(rows, schema=_CONTEXT_SCHEMA)
+        yield from windows.flush()
+
+    return run
+
+
+def _repeated_windows(length: int):
+    """Spans of windows that came from more than one place; every task that has a window sent one row of it."""
+
+    def run(batches):
+        held = [tuple(batch.columns) for batch in batches if len(batch)]
+        if not held:
+            return
+        h1, h2, kind, at = (np.concatenate([h[i].to_numpy(zero_copy_only=False) for h in held]) for i in (0, 1, 2, 4))
+        th = pa.chunked_array([h[3] for h in held]).combine_chunks()
+        order, _, size = _equal_pairs(h1, h2)
+        here = order[size > 1]
+        here = here[kind[here] == _WINDOW]
+        codes = th.dictionary_encode()
+        owner, start, end = _runs_of(codes.indices.to_numpy()[here], at[here], length)
+        yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(owner)), pa.array(start), pa.array(end)], names=["th", "start", "end"])
 
     return run
 
@@ -160,14 +224,8 @@ def _finish(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k: int = 64, hot: int = 4096) -> DataFrame:
-    """Per distinct text: th (its key), n_bytes, n_removed, n_spans, kept_sha256, spans.
-
-    `spans` are the maximal runs of UTF-8 bytes covered by a string of `length` bytes
-    that starts anywhere else too: in another text, in another row with the same text,
-    or elsewhere in the same text, overlaps included. Null text counts as empty; texts
-    shorter than `length` have no spans; an empty table gives no rows.
-    """
+def _texts_and_spans(docs: DataFrame, text_col: str, length: int, k: int = 64, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(th, t, copies) of distinct texts, and (th, spans) of those with repeats, spans not merged yet."""
     text = text_of(text_col)
     texts = docs.select(text_key(text).alias("th"), text.alias("t")).groupBy("th").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
     keys = stored(texts.select("th", "t", "copies").mapInArrow(_emit_anchors(length, k), "key long, th binary, n long"), "anchors")
@@ -177,15 +235,25 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k
         F.collect_list(F.when(cold, F.col("key"))).alias("cold"), F.collect_list(F.when(many, F.col("key"))).alias("hot")
     )
     contexts = texts.join(wanted, "th").select("th", "t", "cold", "hot")
-    contexts = stored(
-        contexts.mapInArrow(_emit_contexts(length, k), "hot boolean, h1 long, h2 long, th binary, at long, suffix binary, before binary"), "contexts"
-    )
-    family = contexts.where("not hot").select("h1", "th", "at", "suffix", "before").repartition("h1")
-    family = family.mapInArrow(_family_spans(length, k), "th binary, start long, end long")
-    windows = contexts.where("hot").select("h1", "h2", "th", "at")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    windows = windows.join(twice, ["h1", "h2"]).select("th", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    spans = family.unionByName(windows).groupBy("th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    contexts = stored(contexts.mapInArrow(_emit_contexts(length, k), _CONTEXT_SQL), "contexts")
+    span = "th binary, start long, end long"
+    family = contexts.where(F.col("kind") == _CONTEXT).select("h1", "th", "at", "suffix", "before").repartition("h1")
+    windows = contexts.where(F.col("kind").isin(_WINDOW, _SETTLED)).select("h1", "h2", "kind", "th", "at").repartition("h1", "h2")
+    settled = contexts.where(F.col("kind") == _RUN).select("th", F.col("at").alias("start"), F.col("h1").alias("end"))
+    spans = family.mapInArrow(_family_spans(length, k), span).unionByName(windows.mapInArrow(_repeated_windows(length), span)).unionByName(settled)
+    spans = spans.groupBy("th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return texts, spans
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k: int = 64, hot: int = 4096) -> DataFrame:
+    """Per distinct text: th (its key), n_bytes, n_removed, n_spans, kept_sha256, spans.
+
+    `spans` are the maximal runs of UTF-8 bytes covered by a string of `length` bytes
+    that starts anywhere else too: in another text, in another row with the same text,
+    or elsewhere in the same text, overlaps included. Null text counts as empty; texts
+    shorter than `length` have no spans; an empty table gives no rows.
+    """
+    texts, spans = _texts_and_spans(docs, text_col, length, k, hot)
     done = texts.join(spans, "th", "left").select("th", "t", "copies", "spans")
     return done.mapInArrow(
         _finish(length),
@@ -202,3 +270,38 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stored(repeated_spans(docs, text_col, length, **options), "spans")
     rows = docs.select(F.col(id_col), text_key(text_of(text_col)).alias("th"))
     return rows.join(found, "th").drop("th")
+
+
+def _cut(length: int):
+    def run(batches):
+        for batch in batches:
+            texts, out = _binary(batch.column(1)), []
+            for i in range(len(batch)):
+                text = texts[i].as_py()
+                if batch.column(2)[i].as_py() > 1 and len(text) >= length:
+                    out.append("")
+                    continue
+                parts, at = [], 0
+                for start, end in merged([(s["start"], s["end"]) for s in batch.column(3)[i].as_py() or ()]):
+                    while start < end and text[start] & 0xC0 == 0x80:  # whole characters only
+                        start += 1
+                    while end > start and end < len(text) and text[end] & 0xC0 == 0x80:
+                        end -= 1
+                    parts.append(text[at:start])
+                    at = end
+                out.append(b"".join([*parts, text[at:]]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["th", "kept"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, **options) -> DataFrame:
+    """`docs` with the repeated spans cut out of their texts, whole characters at a time.
+
+    Rows whose text has nothing left but white space go; other columns are unchanged.
+    """
+    texts, spans = _texts_and_spans(docs, text_col, length, **options)
+    kept = texts.join(spans, "th", "left").select("th", "t", "copies", "spans").mapInArrow(_cut(length), "th binary, kept string")
+    rows = docs.withColumn("_th", text_key(text_of(text_col))).drop(text_col)
+    rows = rows.join(kept.withColumnRenamed("th", "_th"), "_th").where(F.rlike("kept", F.lit(r"[^\x20\x09-\x0D]")))
+    return rows.select(*[F.col("kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
