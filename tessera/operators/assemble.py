@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import clock, identity, scalars
 from ..functions.arithmetic import compile_arithmetic
+from ..functions.names import col, cols
 from ..plans.grammar import Ref, Step
 from ..plans.preset import Assertion, Field, Preset, PresetError, Selector, Time
 from ..schema import IDENTITY_COLUMNS, OFFSET_STATE, OUTPUT_COLUMNS, column_type, unit_factor
@@ -61,7 +62,7 @@ class Compiler:
 
     def _source(self, name: str) -> Column:
         kind = self.types[name]
-        return scalars.no_nan(F.col(f"`{name}`"), kind)
+        return scalars.no_nan(col(name), kind)
 
     def ref(self, ref: Ref) -> tuple[Column, T.DataType, str | None]:
         """(value, type, name of the source column)."""
@@ -84,7 +85,7 @@ class Compiler:
         else:
             p, s = self.preset, self.selector
             value = {
-                "id": p.id, "name": s.name or p.name, "tier": p.tier, "os": p.os, "tool": p.tool, "version": p.version, "os_version": p.os_version,
+                "id": p.id, "name": s.name or p.title, "tier": p.tier, "os": p.os, "tool": p.tool, "version": p.version, "os_version": p.os_version,
                 "path": s.path, "format": s.format, "table": s.table, "sheet": s.sheet, "sql": s.sql,
             }[str(ref.arg)]
         return F.lit(value).cast("string"), text, None
@@ -222,7 +223,7 @@ def assemble(source: DataFrame, preset: Preset, run: Run | None = None, selector
     for name in ("entity", "linked_entity"):
         if getattr(run, name):
             base[name] = F.lit(getattr(run, name))
-    base |= {"input_file_path": F.lit(run.input_file_path).cast("string"), "preset_id": F.lit(preset.id), "preset_name": F.lit(preset.name)}
+    base |= {"input_file_path": F.lit(run.input_file_path).cast("string"), "preset_id": F.lit(preset.id), "preset_name": F.lit(preset.title)}
     tier, path = F.lit(preset.tier).cast("string"), F.lit(run.logical_path or run.input_file_path).cast("string")
     base["source_tier"] = F.coalesce(base["source_tier"], tier) if "source_tier" in base else tier
     base["raw_source_path"] = F.coalesce(base["raw_source_path"], path) if "raw_source_path" in base else path
@@ -244,14 +245,14 @@ def assemble(source: DataFrame, preset: Preset, run: Run | None = None, selector
         rows.append(F.struct(F.lit(ordinal).alias("_ordinal"), *columns))
     kept = _passthrough(c.columns, run.prefix) if run.passthrough else {}
     notes = F.filter(F.array(*c.warnings), lambda w: w.isNotNull()) if c.warnings else F.array().cast(_WARNING)
-    wide = source.select(F.col(line).alias("_line"), *[F.col(f"`{s}`").alias(t) for s, t in kept.items()], notes.alias(WARNINGS), F.inline(F.array(*rows)))
+    wide = source.select(F.col(line).alias("_line"), *[col(s).alias(t) for s, t in kept.items()], notes.alias(WARNINGS), F.inline(F.array(*rows)))
     if run.exact_row_uid:
         uid = _row_uid(fingerprint)
     else:
         body = F.to_json(F.struct(*[F.col(n) for n in IDENTITY_COLUMNS]))
         uid = identity.uuid5(identity.ROW_SPACE, F.concat_ws("|", fingerprint, F.coalesce("raw_source_path", F.lit("None")), F.col("_line").cast("string"), F.col("_ordinal").cast("string"), body))
     wide = wide.withColumn("row_uid", uid)
-    return wide.select(*OUTPUT_COLUMNS, OFFSET_STATE, "_line", "_ordinal", WARNINGS, *kept.values())
+    return wide.select(*OUTPUT_COLUMNS, OFFSET_STATE, "_line", "_ordinal", WARNINGS, *cols(list(kept.values())))
 
 
 def _row_uid(fingerprint: Column) -> Column:

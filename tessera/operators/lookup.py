@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import cols
+
 
 def first_wins(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One entry per key, the first in order; aggregated before the shuffle, so a key of many entries costs no more."""
@@ -22,7 +24,7 @@ def with_source(records: DataFrame, entries: DataFrame, record_key: str, entry_k
     build = first_wins(entries.select(entry_key, *dict.fromkeys([*order, *columns])), entry_key, order)
     build = build.select(F.col(entry_key).alias("_key"), *[F.col(c).alias(f"_s_{c}") for c in columns])
     joined = records.join(build, F.col(record_key) == F.col("_key"), "left")
-    return joined.select(*records.columns, *[F.col(f"_s_{c}").alias(c) for c in columns])
+    return joined.select(*cols(records.columns), *[F.col(f"_s_{c}").alias(c) for c in columns])
 
 
 def numbered(rows: DataFrame, order: list[str], within: list[str], name: str = "_line") -> DataFrame:

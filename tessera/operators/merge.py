@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import cols
+
 
 def distinct_in_order(rows: DataFrame, columns: list[str], line: str = "_line") -> DataFrame:
     """Distinct rows over `columns` (nulls are alike), each at its first position."""
-    return rows.groupBy(*columns).agg(F.min(line).alias(line))
+    return rows.groupBy(*cols(columns)).agg(F.min(line).alias(line))
 
 
 def merge_views(database: DataFrame, with_sidecar: DataFrame, columns: list[str], sidecar: str = "wal", line: str = "_line") -> DataFrame:
@@ -21,12 +23,12 @@ def merge_views(database: DataFrame, with_sidecar: DataFrame, columns: list[str]
     view after them. Rows are distinct, nulls alike. Both views are tagged, united and
     grouped once, so there is one shuffle and no join.
     """
-    tagged = database.select(*columns, F.lit(0).alias("_view"), F.col(line).alias("_at")).unionByName(
-        with_sidecar.select(*columns, F.lit(1).alias("_view"), F.col(line).alias("_at"))
+    tagged = database.select(*cols(columns), F.lit(0).alias("_view"), F.col(line).alias("_at")).unionByName(
+        with_sidecar.select(*cols(columns), F.lit(1).alias("_view"), F.col(line).alias("_at"))
     )
-    merged = tagged.groupBy(*columns).agg(F.min(F.when(F.col("_view") == 0, F.col("_at"))).alias("_db"), F.min(F.when(F.col("_view") == 1, F.col("_at"))).alias("_side"))
+    merged = tagged.groupBy(*cols(columns)).agg(F.min(F.when(F.col("_view") == 0, F.col("_at"))).alias("_db"), F.min(F.when(F.col("_view") == 1, F.col("_at"))).alias("_side"))
     label = F.when(F.col("_db").isNotNull() & F.col("_side").isNotNull(), "both").when(F.col("_db").isNotNull(), "db_only_unique").otherwise(sidecar)
-    return merged.select(*columns, label.alias("recovery"), F.struct(F.col("_db").isNull().alias("late"), F.coalesce("_db", "_side").alias("at")).alias("position"))
+    return merged.select(*cols(columns), label.alias("recovery"), F.struct(F.col("_db").isNull().alias("late"), F.coalesce("_db", "_side").alias("at")).alias("position"))
 
 
 def recovery_state(merged: DataFrame, column: str = "recovery") -> DataFrame:
@@ -43,4 +45,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def difference(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values of `columns` that only the left side has (nulls are alike)."""
-    return left.select(*columns).subtract(right.select(*columns))
+    return left.select(*cols(columns)).subtract(right.select(*cols(columns)))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import cols
 from ..functions.scalars import non_blank
 from ..schema import COMPLETENESS
 
@@ -45,4 +46,4 @@ def untangle(rows: DataFrame, resolution_us: int = RESOLUTION_US, order: list[st
     ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn("_r", F.row_number().over(best))
     rank = F.when(eligible & (F.col("_n") > 1), F.col("_r")).cast("int")
     ranked = ranked.withColumn("record_rank", rank).withColumn("record_type", F.when(F.col("record_rank") == 1, "main").when(F.col("record_rank") > 1, "additional"))
-    return ranked.select(*rows.columns)
+    return ranked.select(*cols(rows.columns))

@@ -83,6 +83,12 @@ class Preset:
     expected: tuple[str, ...] = ()
     source: str = ""
 
+    @property
+    def title(self) -> str:
+        """The name, after the system and the tool that it is for."""
+        prefix = " ".join(p for p in (self.os, self.tool) if p)
+        return f"{prefix} \N{EM DASH} {self.name}" if prefix else self.name
+
     def fields(self) -> list[Field]:
         """Every field of the mapping, times' zones and overrides included."""
         out = [*([self.uid] if self.uid else []), *self.common]

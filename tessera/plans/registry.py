@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,6 @@ def register_python_transform(name: str, kind: T.DataType | None = None):
 
     def add(fn: Callable):
         def column(value: Column, args: list, options: dict) -> Column:
-            import pandas as pd
-
             def one(v):
                 try:
                     return None if v is None else fn(v, args, options)

@@ -46,7 +46,7 @@ def _micros(column: str) -> F.Column:
 
 
 def _preset(selector: dict | None = None, **body) -> Preset:
-    head = {"id": "demo.queries", "name": "Demo", "version": 1, "tier": "primary", "os": "any", "os_version": ">=1"}
+    head = {"id": "demo.queries", "name": "Demo", "version": 1, "tier": "primary", "os_version": ">=1"}
     return preset_from({"preset": head | body.pop("preset", {}), "input_selector": selector or {"format": "csv", "name": "demo.csv"}, **body})
 
 
