@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.names import cols
 from ..sources import readers, sinks
 from ..sources.catalog import Entry, discover
 from .drift import drift, upsert_baseline
 from .lookup import with_source
-from .nested import field_order, of_types, pivot
+from .nested import field_order, of_types
 
 RECORD = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("model_type", T.StringType()), T.StructField("top_type", T.StringType()),
@@ -129,10 +128,11 @@ def dump(spark: SparkSession, path: str | Path, output: str | Path, types: list[
         for kind in sorted(field_order(rows, ["level", "model_type"], "fields", "seq").unionByName(rows.select("level", "model_type").distinct().withColumn("names", F.lit(None).cast("array<string>"))).groupBy("level", "model_type").agg(F.max("names").alias("names")).collect(), key=lambda r: (r["level"], r["model_type"])):
             own = rows.where((F.col("level") == kind["level"]) & (F.col("model_type") == kind["model_type"]))
             ids = [F.col("id").alias("uuid")] if kind["level"] == 0 else [F.col("id").alias("sub-uuid"), F.col("parent_id").alias("main-uuid")]
-            flat = pivot(own, ["seq", "id", "parent_id", *SOURCE_COLUMNS], "fields", kind["names"] or [])
-            table = flat.orderBy("seq").select(*ids, *cols(kind["names"] or []), *[F.col(c).alias(f"source_{c}") for c in SOURCE_COLUMNS])
+            names = kind["names"] or []
+            table = own.orderBy("seq").select(*ids, *[F.try_element_at("fields", F.lit(n)).alias(f"_{i}") for i, n in enumerate(names)], *[F.col(c).alias(f"source_{c}") for c in SOURCE_COLUMNS])
+            header = [*table.columns[: len(ids)], *names, *table.columns[len(ids) + len(names) :]]  # names may differ in case alone
             name = f"{kind['level']}_{sinks.safe_file_name(kind['model_type'], set())}.csv"
-            out[name] = sinks.write_csv(table, Path(output) / name, bom=True)
+            out[name] = sinks.write_csv(table, Path(output) / name, True, header)
     finally:
         rows.unpersist()
     return out

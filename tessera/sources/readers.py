@@ -380,11 +380,11 @@ class _FileReader(DataSourceReader):
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Names with repeats numbered: a, a.1, a.2."""
+    """Names with repeats numbered: a, a.1, a.2; names that differ in case alone are repeats."""
     out: list[str] = []
     for n in names:
         name, i = n, 0
-        while name in out:
+        while name.lower() in (o.lower() for o in out):
             i += 1
             name = f"{n}.{i}"
         out.append(name)

@@ -24,22 +24,22 @@ def rendered(rows: DataFrame) -> DataFrame:
     return rows.select(*[offset.alias(c) if c == "utc_offset_hours" else F.col(c) for c in OUTPUT_COLUMNS], *cols(rest))
 
 
-def write_csv(rows: DataFrame, path: str | Path, bom: bool = False) -> int:
+def write_csv(rows: DataFrame, path: str | Path, bom: bool = False, header: list[str] | None = None) -> int:
     """One CSV file, in the rows' order; nothing is written for no rows. Returns the number of rows.
+    `header` gives names that differ from the columns'.
 
     Executors write the parts, which are joined in order under one header.
     """
     path = Path(path)
-    ordered = rows
     draft = path.parent / f".{path.name}-{uuid.uuid4().hex}"
-    ordered.write.option("header", "false").option("escape", '"').option("emptyValue", "").csv(str(draft))
+    rows.write.option("header", "false").option("escape", '"').option("emptyValue", "").csv(str(draft))
     parts = sorted(p for p in draft.iterdir() if p.name.startswith("part-") and p.stat().st_size)
     total = 0
     if parts:
         import csv
 
         with path.open("w", encoding="utf-8-sig" if bom else "utf-8", newline="") as out:
-            csv.writer(out, lineterminator="\n").writerow(ordered.columns)
+            csv.writer(out, lineterminator="\n").writerow(header or rows.columns)
             for p in parts:
                 with p.open(encoding="utf-8", newline="") as part:
                     for piece in iter(lambda: part.read(1 << 20), ""):
