@@ -17,7 +17,7 @@ from tessera.llm.tokens import public
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier scores below 0.3 go."""
     model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, keep=docs.columns).where("score >= 0.3").drop("score")
+    return quality_classifier.score(docs, model, keep=docs.columns, name="__quality").where("__quality >= 0.3").drop("__quality")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

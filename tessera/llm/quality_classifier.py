@@ -208,14 +208,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*groups) if min(map(len, groups)) else None
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (or the columns `keep`) and score, one row per input row.
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """id (or the columns `keep`) and the score as column `name`, one row per input row.
 
     Null and empty texts are scored like any other (their statistics are zeros). Without
     a model every score is 0.5.
     """
     keep = keep or [id_col]
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text_col).alias("_scored"))
+    rows = docs.select(*[F.col(c) for c in keep], text_of(text_col).alias("__scored"))
 
     def run(batches):
         for b in batches:
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 s = np.full(len(b), 0.5)
             else:
                 s = model.score(features(b.column(len(keep)).cast(pa.binary()))) if len(b) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*keep, name])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"{schema}, `{name}` double")

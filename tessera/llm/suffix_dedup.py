@@ -302,6 +302,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200,
     """
     texts, spans = _texts_and_spans(docs, text_col, length, **options)
     kept = texts.join(spans, "th", "left").select("th", "t", "copies", "spans").mapInArrow(_cut(length), "th binary, kept string")
-    rows = docs.withColumn("_th", text_key(text_of(text_col))).drop(text_col)
-    rows = rows.join(kept.withColumnRenamed("th", "_th"), "_th").where(F.rlike("kept", F.lit(r"[^\x20\x09-\x0D]")))
-    return rows.select(*[F.col("kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    kept = kept.select(F.col("th").alias("__th"), F.col("kept").alias("__kept"))
+    rows = docs.withColumn("__th", text_key(text_of(text_col))).drop(text_col)
+    rows = rows.join(kept, "__th").where(F.rlike("__kept", F.lit(r"[^\x20\x09-\x0D]")))
+    return rows.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
