@@ -36,6 +36,8 @@ _CLASS[0xC0:], _CLASS[0x80:0x9F], _CLASS[0x9F:0xC0] = 14, 15, 16
 _CLASSES = 17
 _WORD_FEATURES = 14
 N_FEATURES = _CLASSES + _WORD_FEATURES
+#: Weight decay of the network.
+DECAY = 3e-4
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -115,7 +117,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _train(x: np.ndarray, slope, units: int, rounds: int, batch: int, groups: tuple[np.ndarray, np.ndarray], seed: int):
+def _train(x: np.ndarray, slope, units: int, rounds: int, batch: int, groups: tuple[np.ndarray, np.ndarray], seed: int, decay: float):
     """Adam on mini-batches that draw from both groups; slope gives d risk / d output for a batch."""
     rng = np.random.default_rng(seed)
     w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], units)), np.zeros(units), rng.normal(0, 1 / np.sqrt(units), units), np.zeros(())]
@@ -126,7 +128,7 @@ def _train(x: np.ndarray, slope, units: int, rounds: int, batch: int, groups: tu
         hidden = _hidden(part, w)
         d = slope(hidden @ w[2] + w[3], len(rows[0]))
         back = np.outer(d, w[2]) * (1 - hidden**2)
-        grads = [part.T @ back + 1e-5 * w[0], back.sum(0), hidden.T @ d + 1e-5 * w[2], d.sum()]
+        grads = [part.T @ back + decay * w[0], back.sum(0), hidden.T @ d + decay * w[2], d.sum()]
         rate = 0.01 * min(1.0, 2 * (1 - step / (rounds + 1)))
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
@@ -160,9 +162,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, units: int = 24, rounds: i
     def against(z, n):
         return np.concatenate(((_sigmoid(z[:n]) - 1) / n, _sigmoid(z[n:]) / (len(z) - n)))
 
-    w = _train(x, against, 8, rounds // 3, batch, groups, seed)
-    z = _hidden(x, w) @ w[2] + w[3]
-    prior = estimate_prior(z[groups[0]], z[groups[1]])
+    # each half is scored by a model of the other: a model's own positives would look too good
+    parts = [[g[i::2] for g in groups] for i in range(2)]
+    priors = []
+    for own, other in (parts, parts[::-1]):
+        if min(map(len, [*own, *other])) == 0:
+            own, other = groups, groups
+        w = _train(x, against, 4, min(rounds // 3, 300), batch, tuple(other), seed, 1e-2)
+        priors.append(estimate_prior(*[_hidden(x[g], w) @ w[2] + w[3] for g in own]))
+    prior = float(np.mean(priors))
 
     def risk(z, n):
         p, u = _sigmoid(z[:n]), _sigmoid(z[n:])
@@ -173,7 +181,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, units: int = 24, rounds: i
         up = np.concatenate((prior * (p - 1) / n, np.zeros(len(u))))
         return up + down
 
-    return Model(centre, scale, _train(x, risk, units, rounds, batch, groups, seed + 1), prior)
+    return Model(centre, scale, _train(x, risk, units, rounds, batch, groups, seed + 1, DECAY), prior)
 
 
 def _sample(rows: DataFrame, keys: list, bound: int, seed: int) -> DataFrame:
