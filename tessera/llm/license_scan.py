@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_key, text_of
 
 #: Names of public licenses and the statements by which files declare them.
 TEMPLATES = [
@@ -59,24 +59,24 @@ def template_vectors(templates: list[tuple[str, str]], threshold: float):
     return rows, idf, math.log(1 + len(bags)) + 1
 
 
-def license_lines(files: DataFrame, path_col: str, text_col: str, templates=None, threshold: float = THRESHOLD) -> DataFrame:
-    """(path key columns, line number, license, score): each line's best template at the threshold or above."""
+def license_lines(files: DataFrame, keys: list[str], text_col: str, templates=None, threshold: float = THRESHOLD) -> DataFrame:
+    """(keys, line number, license, score): each line's best template at the threshold or above; `keys` tell files apart."""
     spark = files.sparkSession
     rows, idf, unknown = template_vectors(templates or TEMPLATES, threshold)
     leads = sorted({t for _, _, t, _, leading in rows if leading})
     vectors = F.broadcast(spark.createDataFrame([(n, name, t, w) for n, name, t, w, _ in rows], "_template int, license string, _term string, _weight double"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "_term string, _idf double"))
-    line = files.select(path_col, F.posexplode(F.split(F.lower(text_of(text_col)), "\n", -1)).alias("line", "_line"))
+    line = files.select(*keys, F.posexplode(F.split(F.lower(text_of(text_col)), "\n", -1)).alias("line", "_line"))
     line = line.where(F.rlike("_line", F.lit("|".join(re.escape(t) for t in leads))))
     line = line.withColumn("_terms", F.regexp_extract_all("_line", F.lit(TERM), F.lit(0)))
     line = line.where(F.arrays_overlap("_terms", F.array(*[F.lit(t) for t in leads])))
-    term = line.select(path_col, "line", F.explode("_terms").alias("_term")).groupBy(path_col, "line", "_term").agg(F.count("*").alias("_n"))
+    term = line.select(*keys, "line", F.explode("_terms").alias("_term")).groupBy(*keys, "line", "_term").agg(F.count("*").alias("_n"))
     term = term.join(weights, "_term", "left").withColumn("_w", F.col("_n") * F.coalesce("_idf", F.lit(unknown)))
-    norm = term.groupBy(path_col, "line").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    dot = term.join(vectors, "_term").groupBy(path_col, "line", "_template", "license").agg(F.sum(F.col("_w") * F.col("_weight")).alias("_dot"))
-    scored = dot.join(norm, [path_col, "line"]).select(path_col, "line", "license", "_template", F.round(F.col("_dot") / F.col("_norm"), 9).alias("score"))
+    norm = term.groupBy(*keys, "line").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    dot = term.join(vectors, "_term").groupBy(*keys, "line", "_template", "license").agg(F.sum(F.col("_w") * F.col("_weight")).alias("_dot"))
+    scored = dot.join(norm, [*keys, "line"]).select(*keys, "line", "license", "_template", F.round(F.col("_dot") / F.col("_norm"), 9).alias("score"))
     best = F.max_by(F.struct("license", "score"), F.struct("score", -F.col("_template")))
-    return scored.where(F.col("score") >= threshold).groupBy(path_col, "line").agg(best.alias("_best")).select(path_col, "line", "_best.license", "_best.score")
+    return scored.where(F.col("score") >= threshold).groupBy(*keys, "line").agg(best.alias("_best")).select(*keys, "line", "_best.license", "_best.score")
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=None, threshold: float = THRESHOLD) -> DataFrame:
@@ -86,12 +86,13 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     higher score and then the name. License files (LICENSE, COPYING, NOTICE, with any
     suffix) give theirs to their directory, ties alike; a file without one takes that
     of the nearest directory at or above its own. Directories are resolved once each,
-    by an equi-join of their ancestors, so a directory of many files costs no more
-    than another. Null texts are empty; null paths and repeated paths are merged into
-    one file; an empty table gives no rows.
+    by an equi-join of their ancestors (the root, whose name is empty, included), so a
+    directory of many files costs no more than another. Null texts are empty and null
+    paths the empty path; equal rows are one file, and the texts of one path are taken
+    together; an empty table gives no rows.
     """
-    paths = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("_path"), text_of(text_col).alias("_text"))
-    lines = license_lines(paths, "_path", "_text", templates, threshold)
+    paths = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("_path"), text_key(text_of(text_col)).alias("_key"), text_of(text_col).alias("_text"))
+    lines = license_lines(paths, ["_path", "_key"], "_text", templates, threshold)
     votes = lines.groupBy("_path", "license").agg(F.count("*").alias("_n"), F.max("score").alias("_score"))
     pick = lambda n: F.min_by(F.struct("license", F.col("_score").alias("score")), F.struct(-F.col(n), -F.col("_score"), F.col("license")))
     own = votes.groupBy("_path").agg(pick("_n").alias("_own"), F.sum("_n").alias("n_license_lines"))
@@ -102,7 +103,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     given = given.groupBy("_dir", "license").agg(F.count("*").alias("_n"), F.max("_score").alias("_score"))
     given = given.groupBy("_dir").agg(pick("_n").alias("_given")).select(F.col("_dir").alias("_above"), F.col("_given.license").alias("_license"))
     steps = F.split("_dir", "/", -1)
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
+    above = F.explode(F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))))
     heir = paths.select(folder).distinct().select("_dir", above.alias("_above")).join(given, "_above")
     heir = heir.groupBy("_dir").agg(F.max_by(F.struct("_above", "_license"), F.length("_above")).alias("_heir"))
     out = every.join(heir, "_dir", "left")
@@ -166,7 +167,7 @@ own AS (
   ) WHERE r = 1
 ), heir AS (
   SELECT f.doc_id, g.dir AS above, g.license, row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.dir) DESC) AS r
-  FROM f JOIN given g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/')
+  FROM f JOIN given g ON g.dir = '' OR f.dir = g.dir OR starts_with(f.dir, g.dir || '/')
 )
 SELECT f.doc_id, coalesce(total, 0)::BIGINT AS n_license_lines, f.license AS own_license, f.score AS own_score,
   coalesce(f.license, heir.license) AS license, CASE WHEN f.license IS NULL THEN heir.above END AS inherited_from
