@@ -29,13 +29,15 @@ def test_prior_and_risk_on_known_mixtures():
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = qc.learn(docs, labels)
     scored = {r.doc_id: r.score for r in qc.score(docs, model).collect()}
-    held = [(scored[r.doc_id] >= 0.3, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    held = [(scored[r.doc_id], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(scored) == docs.count() and all(0 <= s <= 1 for s in scored.values())
-    assert sum(p == bool(q) for p, q in held) / len(held) > 0.95
+    assert sum((s >= 0.3) == bool(q) for s, q in held) / len(held) > 0.97
+    good, bad = ([s for s, q in held if q == v] for v in (1, 0))
+    assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.99
 
 
 def test_classifier_over_odd_rows(spark):
