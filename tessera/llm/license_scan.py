@@ -3,7 +3,7 @@
 DataFrame functions only. Every line of a file is a vector over words; only words of
 some template matter for the dot product, the others lengthen the norm. A line is
 compared with a template only if it holds one of the template's leading words: the
-heaviest ones, taken until those left out could not reach the threshold, so none is
+longest ones, taken until those left out could not reach the threshold, so none is
 missed. A file without a license of its own takes that of the nearest directory above
 it which has a license file.
 """
@@ -53,7 +53,7 @@ def template_vectors(templates: list[tuple[str, str]], threshold: float):
         raw = {t: n * idf[t] for t, n in bag.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         left = 1.0
-        for term, w in sorted(raw.items(), key=lambda x: (-x[1], x[0])):
+        for term, w in sorted(raw.items(), key=lambda x: (-len(x[0]), x[0])):  # long words first: they are rare in texts
             rows.append((number, name, term, w / norm, left >= threshold * threshold))
             left -= (w / norm) ** 2
     return rows, idf, math.log(1 + len(bags)) + 1
