@@ -107,7 +107,7 @@ def near_duplicates(
     member = member.join(distinct, "fp")
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = distinct.join(member.select("fp", "root").join(named, "root").drop("root"), "fp", "left")
-    classes = classes.select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    classes = stored(classes.select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")  # a plain scan: a hot fingerprint's rows can be split
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
