@@ -9,6 +9,7 @@ one of them: copies are merged into one fingerprint before anything is emitted.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -111,12 +112,11 @@ def near_duplicates(
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-# Near duplicates by shingle similarity: SimHash proposes, the shingles decide.
+# Near duplicates by shingle similarity: a prefix filter proposes, the shingles decide.
 
 
-#: Bits of a word fingerprint, and by how many of 64 the shingles' fingerprints of a candidate pair may differ:
-#: at similarity 0.8 they differ in 9.7 on average, with a deviation of 2.9.
-WORD_BITS, SHINGLE_RADIUS = 32, 20
+#: Bits of a word fingerprint.
+WORD_BITS = 32
 
 
 def _bits_over_half(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -173,20 +173,38 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _proposals(prints: DataFrame, table: int, radius: int) -> DataFrame:
-    """(th, place, other): for each text, the places of earlier ones that head a bucket which its fingerprint falls into.
+#: Texts whose shingles are counted, and in how many of them a shingle must be to come late in the order of prefixes.
+#: Both only change how many candidates there are: any one order of all shingles loses no pair.
+SAMPLE_TEXTS, COMMON = 10_000, 6
 
-    Texts of one fingerprint are one entry in the buckets, headed by the earliest of
-    them, so a bucket holds no more than a ball of fingerprints. An entry is two
-    numbers, the variant and its place.
+
+def _common_shingles(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample hold, sorted, and in how many texts they are."""
+    some = plain.where(F.pmod(F.xxhash64("th"), F.lit(plain.count() // SAMPLE_TEXTS + 1)) == 0).select("th", "_text").dropDuplicates(["th"])
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle).astype(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["shingle"])
+
+    rows = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy("shingle").collect()
+    return np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], np.int64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set, common ones last, of which two sets of at least this similarity share one.
+
+    The similarity asks for `similarity * n` common shingles of a set of n, so not all of
+    them can be behind the first n - similarity * n + 1.
     """
-    own = prints.select("th", "place", F.col(f"f{table}").alias("fp"))
-    heads = own.groupBy("fp").agg(F.min("place").alias("head"))
-    entries = heads.select("head", "fp", F.explode(_ball(radius // 2, WORD_BITS)).alias("_mask")).select("head", F.col("fp").bitwiseXOR(F.col("_mask")).alias("_variant"))
-    first = F.min("head").over(Window.partitionBy("_variant"))
-    edges = entries.select("head", first.alias("other")).where("other < head").distinct()
-    reached = edges.unionByName(heads.select("head", F.col("head").alias("other")))
-    return own.join(heads, "fp").join(reached, "head").where("other < place").select("th", "place", "other")
+    take = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    if not len(common[0]) or not len(shingles):
+        return shingles[:take]
+    at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+    often = np.where(common[0][at] == shingles, common[1][at], 0)
+    if not often[:take].any():
+        return shingles[:take]
+    return shingles[np.argsort(often, kind="stable")[:take]]
 
 
 #: Bits of the filter that spares texts without candidates from being shingled; its size is fixed.
@@ -205,77 +223,80 @@ def _filter_of(slots: DataFrame) -> np.ndarray:
 def _similar(similarity: float):
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (1, 2))
+            a, b = (batch.column(i).to_pylist() for i in (2, 3))
             ok = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["th"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
     return run
 
 
+def _verified(plain: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of text keys whose shingle sets are similar; only texts of some pair are shingled."""
+    pairs = stored(pairs, "candidates")
+    slot = F.pmod(F.xxhash64("th"), F.lit(_FILTER_BITS)).alias("slot")
+    wanted = _filter_of(pairs.select(F.col("u").alias("th")).unionByName(pairs.select(F.col("v").alias("th"))).select(slot))
+
+    def sets(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            some = np.flatnonzero((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            texts = batch.column(2).cast(pa.binary()).take(pa.array(some)).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], names=["th", "shingles"])
+
+    named = plain.select("th", slot, "_text").mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
+    named = stored(named, "shingles")
+    mine, others = named.select(F.col("th").alias("u"), F.col("shingles").alias("a")), named.select(F.col("th").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u binary, v binary")
+
+
+def similar_pairs(plain: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(texts, pairs): the distinct texts (th, place), and all pairs (u, v), u < v, of their keys with similar shingle sets.
+
+    An exact prefix-filter join: each text emits a prefix of its shingles, similar texts
+    meet on one of them, and every pair that meets and whose sizes allow the similarity
+    is verified. Sampled counts put common shingles last, so that few texts meet on them.
+    """
+    common = _common_shingles(plain, shingle)
+
+    def prefixes(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            first = [prefix(x, similarity, common).astype(np.int64) if len(x) else np.array([-1]) for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["th", "place", "size", "prefix"])
+
+    marked = plain.mapInArrow(prefixes, "th binary, place long, size long, prefix array<long>")
+    marked = stored(marked.groupBy("th").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "prefixes")
+    entries = marked.select("th", "size", F.explode("prefix").alias("shingle"))
+    entries = entries.withColumn("_n", F.count("*").over(Window.partitionBy("shingle"))).where("_n > 1").drop("_n")
+    entries = stored(entries, "shared-shingles")
+    near = F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size") - F.lit(1e-9)
+    others = entries.select(F.col("th").alias("v"), F.col("size").alias("_size"), "shingle")
+    pairs = entries.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(near).select("u", "v").distinct()
+    return marked.select("th", "place"), _verified(plain, pairs, shingle, similarity)
+
+
 def first_of_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    tables: int = 5, radius: int = 2,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """The rows that have no earlier near copy: of each group of similar texts, the one with the smallest id.
+    """The rows that have no earlier near copy: of each two similar texts, the one with the smallest id.
 
     Texts are similar if the Jaccard similarity of their sets of word shingles is at
-    least `similarity`. Candidates meet by ball hashing of word fingerprints under
-    `tables` hash functions: edits move few bits of those, where a fingerprint of
-    five-word shingles at similarity 0.8 would be ten bits away and no ball reach it.
-    Those whose numbers of shingles or whose shingles' fingerprints are too far apart
-    are left out; the rest are decided by the shingles. A text's candidates are tried in
-    order of id, twice as many in each round, until one is similar or none is left.
+    least `similarity`; all such pairs are found.
 
     Of equal texts the row with the smallest id stays, of repeated rows one (a null id
     comes last; ids that are no whole numbers are ordered by their hashes). Null texts count as empty; texts without words are similar to each
     other. Columns are unchanged; an empty table stays empty.
     """
-    spark, names = docs.sparkSession, docs.columns
+    names = docs.columns
     key, number = text_key(text_of(text_col)), F.col(id_col)
     if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
         number = F.shiftrightunsigned(F.xxhash64(id_col), 2)
     place = F.coalesce(F.when(F.col(id_col).isNotNull(), number.cast("long")), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 2))
     plain = docs.select(key.alias("th"), place.alias("place"), text_of(text_col).alias("_text"))
-    fields = [f"f{t}" for t in range(tables)]
-
-    def prints(batches):
-        for batch in batches:
-            words, whole, size = _text_prints(batch.column(2).cast(pa.binary()), tables, shingle)
-            columns = [*[pa.array(np.ascontiguousarray(words[:, t])) for t in range(tables)], pa.array(whole.view(np.int64)), pa.array(size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["th", "place", *fields, "whole", "size"])
-
-    marked = plain.mapInArrow(prints, "th binary, place long, " + "".join(f"{f} long, " for f in fields) + "whole long, size long")
-    marked = stored(marked.groupBy("th").agg(*[F.min(f).alias(f) for f in ("place", *fields, "whole", "size")]), "word-prints")
-    found = None
-    for t in range(tables):
-        some = _proposals(marked, t, radius)
-        found = some if found is None else found.unionByName(some)
-    earlier = marked.select(F.col("th").alias("_other"), F.col("place").alias("other"), F.col("whole").alias("_whole"), F.col("size").alias("_size"))
-    close = (F.bit_count(F.col("whole").bitwiseXOR(F.col("_whole"))) <= SHINGLE_RADIUS) & (F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size"))
-    pairs = found.distinct().join(earlier, "other").join(marked.select("th", "whole", "size"), "th").where(close)
-    order = F.row_number().over(Window.partitionBy("th").orderBy("other", "_other"))
-    pairs = stored(pairs.select("th", "place", F.col("_other").alias("other"), F.col("other").alias("other_place"), order.alias("turn")), "candidates")
-    slot = F.pmod(F.xxhash64("th", "place"), F.lit(_FILTER_BITS)).alias("slot")
-    wanted = _filter_of(pairs.select("th", "place").unionByName(pairs.select(F.col("other").alias("th"), F.col("other_place").alias("place"))).select(slot))
-
-    def sets(batches):
-        for batch in batches:
-            at = batch.column(1).to_numpy()
-            some = np.flatnonzero((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            texts = batch.column(2).cast(pa.binary()).take(pa.array(some)).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], names=["th", "shingles"])
-
-    shingles = stored(plain.select("th", slot, "_text").mapInArrow(sets, "th binary, shingles binary"), "shingles")
-    mine, others = shingles.withColumnRenamed("shingles", "a"), shingles.select(F.col("th").alias("other"), F.col("shingles").alias("b"))
-    longest = pairs.agg(F.max("turn")).first()[0] or 0
-    later = spark.createDataFrame([], "th binary")
-    done, step = 0, 1
-    while done < longest:
-        todo = pairs.where((F.col("turn") > done) & (F.col("turn") <= done + step)).select("th", "other").join(later, "th", "left_anti")
-        hits = todo.join(mine, "th").join(others, "other").select("th", "a", "b").mapInArrow(_similar(similarity), "th binary")
-        later = stored(later.unionByName(hits.distinct()), "later-copies")
-        done, step = done + step, 2 * step
+    texts, pairs = similar_pairs(plain, shingle, similarity)
+    at = lambda end: texts.select(F.col("th").alias(end), F.struct("place", "th").alias(f"_{end}"))
+    later = stored(pairs.join(at("u"), "u").join(at("v"), "v").select(F.greatest("_u", "_v")["th"].alias("th")).distinct(), "later-copies")
     row = F.struct(place.alias("_place"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
-    texts = docs.groupBy(key.alias("th")).agg(F.min(row).alias("_row"))  # copies are combined before the shuffle
-    stay = texts.join(later, "th", "left_anti")
+    rows = docs.groupBy(key.alias("th")).agg(F.min(row).alias("_row"))  # copies are combined before the shuffle
+    stay = rows.join(later, "th", "left_anti")
     return stay.select(*[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(names)])

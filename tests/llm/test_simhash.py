@@ -103,6 +103,37 @@ def test_first_of_similar(spark):
     assert simhash.first_of_similar(df.limit(0)).count() == 0
 
 
+def test_an_unrelated_head_of_the_bucket_hides_no_copy(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(160)]
+    other = rng.sample(base, 160)  # the same words, so the same word fingerprints
+    swapped = [*base[:80], base[81], base[80], *base[82:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([other, base, swapped])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_of_similar(df).collect()) == [0, 1]
+
+
+def test_pairs_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    common, texts = [" ".join(rng.choices(words, k=12)) for _ in range(3)], ["", " ", "one", "one two"]
+    for _ in range(20):
+        base = rng.choices(words, k=rng.randint(60, 200))
+        line = rng.choice(common).split()
+        for _ in range(5):
+            copy = [*base, *line]
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts = sorted(set(texts))
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    want = {frozenset((texts[i], texts[j])) for i in range(len(texts)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
+    plain = spark.createDataFrame([(t.encode(), i, t) for i, t in enumerate(texts)], "th binary, place long, _text string")
+    for sample in (10_000, 30):
+        monkeypatch.setattr(simhash, "SAMPLE_TEXTS", sample)
+        got = [frozenset((bytes(r.u).decode(), bytes(r.v).decode())) for r in simhash.similar_pairs(plain, 5, 0.8)[1].collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
 def test_text_prints_do_not_depend_on_the_batch():
     texts = [b"a b c", b"", b"x " * 3000, "é ß a b c d e".encode()]
     whole = simhash._text_prints(pa.array(texts, pa.binary()), 3, 5)
