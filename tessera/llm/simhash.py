@@ -249,12 +249,15 @@ def _verified(plain: DataFrame, pairs: DataFrame, shingle: int, similarity: floa
     return pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u binary, v binary")
 
 
-def similar_pairs(plain: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(texts, pairs): the distinct texts (th, place), and all pairs (u, v), u < v, of their keys with similar shingle sets.
-
-    An exact prefix-filter join: each text emits a prefix of its shingles, similar texts
-    meet on one of them, and every pair that meets and whose sizes allow the similarity
-    is verified. Sampled counts put common shingles last, so that few texts meet on them.
+def similar_links(plain: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(texts, links): the distinct texts (th, place), and pairs (u, v) of their keys with similar shingle sets.
+
+    The links connect all texts that are similar. They come of an exact prefix-filter
+    join: each text emits a prefix of its shingles, and similar texts meet on one of them.
+    First each text is verified against the least of each bucket. Then all pairs of a
+    bucket whose texts these links left apart are, so that a large group of copies
+    costs no square of its size and an unrelated least text hides nothing. Sampled counts put common
+    shingles last, so that few texts meet on them.
     """
     common = _common_shingles(plain, shingle)
 
@@ -267,21 +270,30 @@ def similar_pairs(plain: DataFrame, shingle: int, similarity: float) -> tuple[Da
     marked = plain.mapInArrow(prefixes, "th binary, place long, size long, prefix array<long>")
     marked = stored(marked.groupBy("th").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "prefixes")
     entries = marked.select("th", "size", F.explode("prefix").alias("shingle"))
-    entries = entries.withColumn("_n", F.count("*").over(Window.partitionBy("shingle"))).where("_n > 1").drop("_n")
+    bucket = Window.partitionBy("shingle")
+    entries = entries.withColumns({"_n": F.count("*").over(bucket), "head": F.min(F.struct("th", "size")).over(bucket)}).where("_n > 1").drop("_n")
     entries = stored(entries, "shared-shingles")
     near = F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size") - F.lit(1e-9)
-    others = entries.select(F.col("th").alias("v"), F.col("size").alias("_size"), "shingle")
-    pairs = entries.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(near).select("u", "v").distinct()
-    return marked.select("th", "place"), _verified(plain, pairs, shingle, similarity)
+    stars = entries.select(F.col("head.th").alias("u"), F.col("th").alias("v"), "size", F.col("head.size").alias("_size"))
+    stars = stored(stars.where(F.col("u") < F.col("v")).where(near).select("u", "v").distinct(), "stars")
+    links = stored(_verified(plain, stars, shingle, similarity), "star-links")
+    member = components(links).select(F.col("node").alias("th"), "root")
+    label = entries.drop("head").join(member, "th", "left").withColumn("label", F.coalesce("root", "th")).drop("root")
+    split = label.withColumns({"_a": F.min("label").over(bucket), "_b": F.max("label").over(bucket)}).where("_a <> _b").drop("_a", "_b")
+    split = stored(split, "split-buckets")
+    others = split.select(F.col("th").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
+    apart = split.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label")).where(near)
+    rest = apart.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    return marked.select("th", "place"), stored(links.unionByName(_verified(plain, rest, shingle, similarity)), "links")
 
 
 def first_of_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """The rows that have no earlier near copy: of each two similar texts, the one with the smallest id.
+    """Of each group of similar texts, the row with the smallest id.
 
     Texts are similar if the Jaccard similarity of their sets of word shingles is at
-    least `similarity`; all such pairs are found.
+    least `similarity`; a group is all that are reached over similar texts.
 
     Of equal texts the row with the smallest id stays, of repeated rows one (a null id
     comes last; ids that are no whole numbers are ordered by their hashes). Null texts count as empty; texts without words are similar to each
@@ -293,9 +305,10 @@ def first_of_similar(
         number = F.shiftrightunsigned(F.xxhash64(id_col), 2)
     place = F.coalesce(F.when(F.col(id_col).isNotNull(), number.cast("long")), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 2))
     plain = docs.select(key.alias("th"), place.alias("place"), text_of(text_col).alias("_text"))
-    texts, pairs = similar_pairs(plain, shingle, similarity)
-    at = lambda end: texts.select(F.col("th").alias(end), F.struct("place", "th").alias(f"_{end}"))
-    later = stored(pairs.join(at("u"), "u").join(at("v"), "v").select(F.greatest("_u", "_v")["th"].alias("th")).distinct(), "later-copies")
+    texts, links = similar_links(plain, shingle, similarity)
+    member = components(links).select(F.col("node").alias("th"), "root").join(texts, "th").select("th", "root", F.struct("place", "th").alias("_at"))
+    least = member.groupBy("root").agg(F.min("_at").alias("_least"))
+    later = stored(member.join(least, "root").where("_at <> _least").select("th"), "later-copies")
     row = F.struct(place.alias("_place"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
     rows = docs.groupBy(key.alias("th")).agg(F.min(row).alias("_row"))  # copies are combined before the shuffle
     stay = rows.join(later, "th", "left_anti")
