@@ -1,11 +1,13 @@
 """Benchmark decontamination: item-sized windows of text close to a benchmark item.
 
 Items and windows of as many words are multisets of five-word shingles. A window must
-hold enough of the items' shingles to reach the similarity at all (an exact bound);
-those that do are SimHashed and looked up in a multi-index: the 64 bits are cut into
-four blocks, and fingerprints within the radius agree in some block up to a quarter of
-it, so the index of all such block variants misses none of them. The weighted Jaccard
-similarity of the two multisets then decides.
+hold enough of an item's shingles to reach the similarity at all (an exact bound, by an
+inverted index of the items' shingles); the weighted Jaccard similarity of the two
+multisets decides on every window that does, so none is missed.
+
+`Index.near` looks up SimHashes within a radius: the 64 bits are cut into four blocks, and
+fingerprints within the radius agree in some block up to a quarter of it. At similarity
+0.8 one to three in a hundred windows are beyond radius 15, so the search does without it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -85,24 +88,52 @@ class Index:
         for k, known in self.known.items():
             self.seen[k] = np.zeros(1 << 20, bool)
             self.seen[k][(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.lengths = sorted({i.words for i in self.items})
-        near = radius // _BLOCKS
+        self.holders = {}
+        for k, known in self.known.items():
+            pairs = [(h, n) for n, i in enumerate(self.items) if i.k == k for h in i.counts]
+            at = np.searchsorted(known, np.array([h for h, _ in pairs], np.uint64))
+            order = np.argsort(at, kind="stable")
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
+            self.holders[k] = bounds, np.array([n for _, n in pairs], np.int64)[order]
+        self.words = np.array([i.words for i in self.items], np.int64)
+
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The multi-index: of each block, the variants within its share of the radius and their items."""
+        near, tables = self.radius // _BLOCKS, []
         flips = np.array([sum(1 << b for b in c) for n in range(near + 1) for c in combinations(range(_WIDTH), n)], np.int64)
-        self.tables = []
         for block in range(_BLOCKS):
             part = np.array([i.words << _WIDTH | (i.print >> block * _WIDTH) & ((1 << _WIDTH) - 1) for i in self.items], np.int64)
             variants = (part[:, None] ^ flips[None, :]).ravel()
             order = np.argsort(variants, kind="stable")
-            self.tables.append((variants[order], order // len(flips)))
+            tables.append((variants[order], order // len(flips)))
+        return tables
 
-    def present(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        """Which hashes are some item's shingles."""
+    def present(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes are some item's shingles, and which of the known ones."""
         maybe = np.flatnonzero(self.seen[k][(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         known = self.known[k]
-        out = np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
-        out[maybe] = known[at] == hashes[maybe]
-        return out
+        same = known[at] == hashes[maybe]
+        return maybe[same], at[same]
+
+    def _holding(self, hashes: np.ndarray, k: int, n: int):
+        """(item, places of its shingles, size, need) for each item of which a text of n words holds enough shingles for some window."""
+        place, shingle = self.present(hashes, k)
+        bounds, holders = self.holders[k]
+        many = bounds[shingle + 1] - bounds[shingle]
+        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        item, place = holders[np.repeat(bounds[shingle], many) + inside], np.repeat(place, many)
+        total = np.bincount(item, minlength=len(self.items))
+        size = np.minimum(self.words, n) - k + 1
+        need = np.ceil(self.similarity * (size + self.words - k + 1) / (1 + self.similarity) - 1e-9).astype(np.int64)
+        enough = (total > 0) & (total >= need)
+        of_some = enough[item]
+        item, place = item[of_some], place[of_some]
+        order = np.argsort(item, kind="stable")
+        ends = np.cumsum(total[enough])
+        for i, a, b in zip(np.flatnonzero(enough).tolist(), (ends - total[enough]).tolist(), ends.tolist()):
+            yield i, place[order[a:b]], int(size[i]), int(need[i])
 
     def near(self, prints: np.ndarray, words: int) -> list[tuple[int, int]]:
         """All (print, item) of this many words whose fingerprints differ in at most `radius` bits."""
@@ -122,21 +153,15 @@ class Index:
             if n < k:
                 continue
             h = shingles(words, k)
-            held = np.concatenate(([0], np.cumsum(self.present(h, k))))
-            if not held[-1]:
-                continue
-            for length in (x for x in self.lengths if min(SHINGLE, x) == k):
-                size, wanted = min(length, n) - k + 1, length - k + 1
-                need = math.ceil(t * (size + wanted) / (1 + t) - 1e-9)
-                starts = np.flatnonzero(held[size:] - held[:-size] >= need)
-                if not len(starts):
-                    continue
-                for w, i in self.near(simhash(h, starts, size), length):
-                    s = int(starts[w])
-                    both = sum((Counter(h[s : s + size].tolist()) & self.items[i].counts).values())
-                    value = both / (size + self.items[i].size - both)
+            for i, places, size, need in self._holding(h, k, n):
+                item, held = self.items[i], np.zeros(len(h) + 1, np.int64)
+                held[places + 1] = 1
+                held = np.cumsum(held)
+                for s in np.flatnonzero(held[size:] - held[:-size] >= need).tolist():
+                    both = sum((Counter(h[s : s + size].tolist()) & item.counts).values())
+                    value = both / (size + item.size - both)
                     if value >= t and (i not in best or (value, -s) > (best[i][0], -best[i][1])):
-                        best[i] = (value, s, min(length, n))
+                        best[i] = (value, s, min(item.words, n))
         return [(self.items[i].id, *best[i]) for i in sorted(best)]
 
     def rows(self, texts: pa.Array):
@@ -150,8 +175,7 @@ class Index:
             bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
             touched: set[int] = set()
             for k in self.known:
-                held = np.flatnonzero(self.present(shingles(words, k), k))
-                touched.update(doc[held].tolist())  # a run across texts may add one; its search finds nothing
+                touched.update(doc[self.present(shingles(words, k), k)[0]].tolist())  # a run across texts may add one; its search finds nothing
             for d in sorted(touched):
                 matches = self.search(words[bounds[d] : bounds[d + 1]])
                 if matches:
@@ -174,7 +198,7 @@ def _passes(benchmark: DataFrame, item_col: str, text_col: str):
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    similarity: float = SIMILARITY, radius: int = RADIUS,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """(id, item, similarity, start_word, n_words): the best window of each document for each item it comes close to.
 
@@ -190,7 +214,7 @@ def contamination(
 
     def one_pass(items):
         def run(batches):
-            index = Index(items, similarity, radius)
+            index = Index(items, similarity)
             for batch in batches:
                 found = [(i, *m) for i, matches in index.rows(batch.column(1).cast(pa.binary())) for m in matches]
                 if found:
@@ -208,13 +232,13 @@ def contamination(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` in which no item is found, in one pass and without a join; columns unchanged."""
     place = docs.columns.index(text_col)
 
     def one_pass(frame, items):
         def run(batches):
-            index = Index(items, similarity, radius)
+            index = Index(items, similarity)
             for batch in batches:
                 texts = batch.column(place)
                 texts = pa.array(["" if x is None else x for x in texts.to_pylist()], pa.string()) if texts.null_count else texts

@@ -91,3 +91,13 @@ def test_multi_index_misses_nothing_within_the_radius():
             prints.append(flipped)
     got = index.near(np.array(prints, np.uint64), 20)
     assert got == sorted((w, i) for w, p in enumerate(prints) for i, item in enumerate(index.items) if (p ^ item.print).bit_count() <= dc.RADIUS)
+
+
+def test_items_edited_to_the_threshold_are_found_whatever_their_fingerprints():
+    rng = random.Random(9)
+    word = lambda: str(rng.random())
+    items = [(i, [word() for _ in range(22)]) for i in range(400)]
+    index = dc.Index([(i, " ".join(w)) for i, w in items])
+    texts = [" ".join([word(), word(), *w[1:-1], word(), word()]) for _, w in items]  # 16 of 18 shingles: 0.8
+    got = [(row, m[0], m[1]) for row, ms in index.rows(pa.array([t.encode() for t in texts], pa.binary())) for m in ms]
+    assert got == [(i, i, 0.8) for i in range(400)]
