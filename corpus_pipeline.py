@@ -26,9 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur elsewhere too are cut out; texts with nothing left go."""
+    """Strings of 200 bytes that occur elsewhere too are cut out; texts of which that leaves nothing go."""
     kept = suffix_dedup.without_repeats(docs, length=200)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,11 +275,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _cut(length: int):
     def run(batches):
         for batch in batches:
-            texts, out = _binary(batch.column(1)), []
+            texts, out, cut = _binary(batch.column(1)), [], []
             for i in range(len(batch)):
                 text = texts[i].as_py()
                 if batch.column(2)[i].as_py() > 1 and len(text) >= length:
                     out.append("")
+                    cut.append(True)
                     continue
                 parts, at = [], 0
                 for start, end in merged([(s["start"], s["end"]) for s in batch.column(3)[i].as_py() or ()]):
@@ -289,8 +290,10 @@ def _cut(length: int):
                         end -= 1
                     parts.append(text[at:start])
                     at = end
-                out.append(b"".join([*parts, text[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["th", "kept"])
+                rest = b"".join([*parts, text[at:]])
+                out.append(rest.decode())
+                cut.append(len(rest) < len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(cut, pa.bool_())], names=["th", "kept", "cut"])
 
     return run
 
@@ -298,11 +301,12 @@ def _cut(length: int):
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, **options) -> DataFrame:
     """`docs` with the repeated spans cut out of their texts, whole characters at a time.
 
-    Rows whose text has nothing left but white space go; other columns are unchanged.
+    Rows of which something was cut and nothing is left but white space go; other columns
+    and texts without repeats, null or empty ones too, are unchanged.
     """
     texts, spans = _texts_and_spans(docs, text_col, length, **options)
-    kept = texts.join(spans, "th", "left").select("th", "t", "copies", "spans").mapInArrow(_cut(length), "th binary, kept string")
-    kept = kept.select(F.col("th").alias("__th"), F.col("kept").alias("__kept"))
-    rows = docs.withColumn("__th", text_key(text_of(text_col))).drop(text_col)
-    rows = rows.join(kept, "__th").where(F.rlike("__kept", F.lit(r"[^\x20\x09-\x0D]")))
-    return rows.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    kept = texts.join(spans, "th", "left").select("th", "t", "copies", "spans").mapInArrow(_cut(length), "th binary, kept string, cut boolean")
+    kept = kept.select(F.col("th").alias("__th"), F.col("kept").alias("__kept"), F.col("cut").alias("__cut"))
+    rows = docs.withColumns({"__th": text_key(text_of(text_col)), "__null": F.col(text_col).isNull()}).drop(text_col)
+    rows = rows.join(kept, "__th").where(~F.col("__cut") | F.rlike("__kept", F.lit(r"[^\x20\x09-\x0D]")))
+    return rows.select(*[F.when(~F.col("__null"), F.col("__kept")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.suffix_dedup import suffix_dedup, without_repeats
 from tessera.llm.suffix_family import SuffixFamily, common_prefix, runs
 
 
@@ -88,3 +88,12 @@ def test_family_finds_the_same_over_any_batches():
 def test_small_parts():
     assert common_prefix(b"abc", b"abd") == 2 and common_prefix(b"ab", b"abc") == 2 and common_prefix(b"\0a", b"\0b") == 1
     assert runs(0b1011100) == [(2, 4), (6, 6)] and runs(0) == []
+
+
+def test_rows_without_repeats_stay_though_they_are_blank(spark):
+    passage = " ".join(str(i * 7919) for i in range(80))
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, passage), (5, passage), (6, f"{passage} and more"), (7, "short"), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in without_repeats(df, length=200).collect()}
+    assert {i: out.get(i, "gone") for i in (1, 2, 3, 4, 5, 7, 8)} == {1: None, 2: "", 3: " \t\n", 4: "gone", 5: "gone", 7: "short", 8: ""}
+    assert out[6].endswith("and more") and passage not in out[6]
