@@ -249,13 +249,26 @@ def _verified(plain: DataFrame, pairs: DataFrame, shingle: int, similarity: floa
     return pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u binary, v binary")
 
 
+def _likely(meetings: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of the meetings (u, v, size, _size), one for each shared prefix shingle, that can be similar at all.
+
+    What two sets share is in both prefixes or behind the one that ends first, where
+    similarity * n - 1 shingles at most are left of n: the meetings must make up for the rest.
+    """
+    t, slack = F.lit(similarity), F.lit(1e-9)
+    shared = F.ceil(t / (1 + t) * (F.col("size") + F.col("_size")) - slack)
+    behind = F.ceil(t * F.greatest("size", "_size") - slack) - 1
+    meetings = meetings.where(F.least("size", "_size") >= t * F.greatest("size", "_size") - slack)
+    return meetings.groupBy("u", "v", "size", "_size").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared - behind).select("u", "v")
+
+
 def similar_links(plain: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(texts, links): the distinct texts (th, place), and pairs (u, v) of their keys with similar shingle sets.
 
     The links connect all texts that are similar. They come of an exact prefix-filter
-    join: each text emits a prefix of its shingles, and similar texts meet on one of them.
-    First each text is verified against the least of each bucket. Then all pairs of a
-    bucket whose texts these links left apart are, so that a large group of copies
+    join: each text emits a prefix of its shingles, and similar texts meet on enough of them.
+    First texts are verified against the least of their buckets. Then all pairs that
+    these links left apart and that meet often enough are, so that a large group of copies
     costs no square of its size and an unrelated least text hides nothing. Sampled counts put common
     shingles last, so that few texts meet on them.
     """
@@ -273,17 +286,16 @@ def similar_links(plain: DataFrame, shingle: int, similarity: float) -> tuple[Da
     bucket = Window.partitionBy("shingle")
     entries = entries.withColumns({"_n": F.count("*").over(bucket), "head": F.min(F.struct("th", "size")).over(bucket)}).where("_n > 1").drop("_n")
     entries = stored(entries, "shared-shingles")
-    near = F.least("size", "_size") >= F.lit(similarity) * F.greatest("size", "_size") - F.lit(1e-9)
     stars = entries.select(F.col("head.th").alias("u"), F.col("th").alias("v"), "size", F.col("head.size").alias("_size"))
-    stars = stored(stars.where(F.col("u") < F.col("v")).where(near).select("u", "v").distinct(), "stars")
+    stars = stored(_likely(stars.where(F.col("u") < F.col("v")), similarity), "stars")
     links = stored(_verified(plain, stars, shingle, similarity), "star-links")
     member = components(links).select(F.col("node").alias("th"), "root")
     label = entries.drop("head").join(member, "th", "left").withColumn("label", F.coalesce("root", "th")).drop("root")
     split = label.withColumns({"_a": F.min("label").over(bucket), "_b": F.max("label").over(bucket)}).where("_a <> _b").drop("_a", "_b")
     split = stored(split, "split-buckets")
     others = split.select(F.col("th").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
-    apart = split.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label")).where(near)
-    rest = apart.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    apart = split.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label"))
+    rest = _likely(apart, similarity).join(stars, ["u", "v"], "left_anti")
     return marked.select("th", "place"), stored(links.unionByName(_verified(plain, rest, shingle, similarity)), "links")
 
 
