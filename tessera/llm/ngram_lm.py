@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 from . import files
 from .common import shared_dir, stored, text_of
 from .elias_fano import EliasFano, dump, load
-from .textscan import LOWER, pieces, word_bounds, word_hashes
+from .textscan import LOWER, word_blocks, word_bounds, word_hashes
 
 #: Words of a level-1 part (as a target), and tokens' mass of a level-2 part.
 PART_WORDS, PART_MASS = 1 << 19, 1 << 21
-#: Tokens counted or looked up together.
-_TOGETHER = 1 << 21
-_BYTES = 1 << 23
-#: The end of a text as a word's hash; no word has it (hashes of words are of at least one byte).
+#: Tokens counted together, and bytes of text tokenised or looked up together.
+_TOGETHER = 1 << 20
+_BYTES = 1 << 20
+#: Files of a model that a worker keeps open.
+_OPEN = 64
+#: The end of a text as a word's hash; a word whose hash this is gets the next one.
 END = 0
 #: log10 probability = -code / STEP.
 STEP = 24.0
@@ -68,21 +70,34 @@ class Shape:
 
 
 def _tokens(texts: pa.Array):
-    """(first row, rows, token hashes, token owners, is first of its text) for runs of texts; each ends with END."""
-    for lo, hi, data, starts, ends in pieces(texts, _BYTES):
+    """(first row, rows, token hashes, token owners, is first of its text, token before) for runs of texts.
+
+    Each text ends with END. A long one comes in blocks; all but its first have the last
+    token of the block before, the others None.
+    """
+    before = None
+    for lo, hi, data, starts, ends, opens, closes in word_blocks(texts, _BYTES):
         n = hi - lo
         data = LOWER[data]
         first, last, doc = word_bounds(data, starts, ends)
         hashes = word_hashes(data, first, last)
+        hashes[hashes == END] = END + 1
         words = np.bincount(doc, minlength=n)
-        at = np.cumsum(words + 1) - 1
-        out, owner = np.zeros(len(hashes) + n, np.uint64), np.repeat(np.arange(n), words + 1)
-        inner = np.ones(len(out), bool)
-        inner[at] = False
-        out[inner], out[at] = hashes, END
-        head = np.zeros(len(out), bool)
-        head[at - words] = True
-        yield lo, n, out, owner, head
+        before = None if opens else before
+        if closes:
+            at = np.cumsum(words + 1) - 1
+            out, owner = np.full(len(hashes) + n, END, np.uint64), np.repeat(np.arange(n), words + 1)
+            inner = np.ones(len(out), bool)
+            inner[at] = False
+            out[inner] = hashes
+            head = np.zeros(len(out), bool)
+            head[at - words] = before is None
+        else:
+            out, owner, head = hashes, np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+            head[:1] = before is None
+        if len(out):
+            yield lo, n, out, owner, head, before
+            before = out[-1]
 
 
 class Trie:
@@ -92,7 +107,7 @@ class Trie:
         self.shape = shape
         self.base = np.array([*shape.base, shape.words], np.int64)
 
-    @lru_cache(maxsize=None)  # noqa: B019  one trie lives as long as its worker
+    @lru_cache(maxsize=_OPEN)  # noqa: B019  one trie lives as long as its worker
     def part(self, name: str) -> dict:
         try:
             source = files.reader(self.shape.folder, name)
@@ -167,17 +182,18 @@ def _trie(shape: Shape) -> Trie:
     return Trie(shape)
 
 
-def _pairs(trie: Trie, hashes: np.ndarray, head: np.ndarray):
+def _pairs(trie: Trie, hashes: np.ndarray, head: np.ndarray, before):
     """Per token: its count, its predecessor's id (the start's for the first; -1 unknown), and its own id."""
-    distinct, back = np.unique(hashes, return_inverse=True)
+    more = 0 if before is None else 1
+    distinct, back = np.unique(np.concatenate(([before], hashes)) if more else hashes, return_inverse=True)
     ids = trie.ids(distinct)
     known = ids >= 0
     count = np.zeros(len(distinct), np.int64)
     count[known] = trie.counts(ids[known])[1]
     own = ids[back]
-    context = np.concatenate(([-1], own[:-1]))
+    context = np.concatenate(([-1], own[:-1]))[more:]
     context[head] = trie.shape.words
-    return count[back], context, own
+    return count[back[more:]], context, own[more:]
 
 
 def _distinct_pairs(context: np.ndarray, word: np.ndarray):
@@ -212,7 +228,7 @@ def _spread(blob: bytes, columns: int) -> list[np.ndarray]:
 
 def _count_words(batches):
     for batch in batches:
-        for _, _, hashes, _, _ in _tokens(batch.column(0).cast(pa.binary())):
+        for _, _, hashes, _, _, _ in _tokens(batch.column(0).cast(pa.binary())):
             distinct, n = np.unique(hashes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
@@ -274,8 +290,8 @@ def _count_pairs(shape: Shape):
             return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
         for batch in batches:
-            for _, _, hashes, _, head in _tokens(batch.column(0).cast(pa.binary())):
-                _, context, own = _pairs(trie, hashes, head)
+            for _, _, hashes, _, head, before in _tokens(batch.column(0).cast(pa.binary())):
+                _, context, own = _pairs(trie, hashes, head, before)
                 held.append((context, own))
                 size += len(own)
                 if size >= _TOGETHER:
@@ -340,7 +356,11 @@ def _write_bigrams(shape: Shape):
 
 
 def train(docs: DataFrame, training: Column, text_col: str = "text", part_words: int = PART_WORDS, part_mass: int = PART_MASS) -> Shape:
-    """Count, smooth and write the model of the rows where `training` holds; every n-gram of them is kept."""
+    """Count, smooth and write the model of the rows where `training` holds; every n-gram of them is kept.
+
+    A null text is an empty one, a repeated row counts again, a very long text is taken in
+    blocks; other columns are ignored. No training row: a model without words.
+    """
     spark = docs.sparkSession
     texts = docs.where(training).select(text_of(text_col).alias("_text"))
     folder = shared_dir(spark, "ngram-lm")
@@ -379,8 +399,10 @@ def train(docs: DataFrame, training: Column, text_col: str = "text", part_words:
 def score(docs: DataFrame, shape: Shape, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, n_known, base_score and score (log10 probabilities of the whole text, its end included).
 
-    Null texts are empty: the end alone. With a model of no texts every word is of the
-    unknown class, which then is certain: both scores are 0.
+    Null texts are empty: the end alone. Repeated ids and rows are scored one by one, an
+    empty table gives no rows, very long texts are taken in blocks, other columns are
+    ignored. With a model of no texts every word is of the unknown class, which then is
+    certain: both scores are 0.
     """
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
 
@@ -388,8 +410,8 @@ def score(docs: DataFrame, shape: Shape, id_col: str = "doc_id", text_col: str =
         trie = _trie(shape)
         for batch in batches:
             out = np.zeros((4, len(batch)))
-            for lo, n, hashes, owner, head in _tokens(batch.column(1).cast(pa.binary())):
-                count, context, own = _pairs(trie, hashes, head)
+            for lo, n, hashes, owner, head, last in _tokens(batch.column(1).cast(pa.binary())):
+                count, context, own = _pairs(trie, hashes, head, last)
                 base = np.log10((count + 1) / (shape.tokens + shape.words + 1))
                 value = np.log10(trie.unigram(count))
                 asked = np.flatnonzero(context >= 0) if shape.words else np.zeros(0, np.int64)
@@ -402,7 +424,7 @@ def score(docs: DataFrame, shape: Shape, id_col: str = "doc_id", text_col: str =
                 shrink = np.where(types > 0, shrink, 0.0)
                 value[asked] = np.where(code[back] >= 0, -code[back] / STEP, value[asked] + shrink[back])
                 for i, x in enumerate((None, (count > 0).astype(float), base, value)):
-                    out[i, lo : lo + n] = np.bincount(owner, x, n)
+                    out[i, lo : lo + n] += np.bincount(owner, x, n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(out[3])],
                 names=[id_col, "n_tokens", "n_known", "base_score", "score"],

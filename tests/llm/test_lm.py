@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,36 @@ def test_equals_brute_force_over_any_parts(spark, parts):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3]) and g[4] == pytest.approx(w[4])
 
 
+def test_tokens_do_not_depend_on_the_blocks(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", " ", "a", *(" ".join(rng.choices(["b", "cc", "\n", "d" * 40], k=rng.randint(1, 200))) for _ in range(30))]
+    raw = pa.array([t.encode() for t in texts], pa.binary())
+
+    def stream():
+        out, last = [], {}
+        for lo, _, hashes, owner, head, before in ngram_lm._tokens(raw):
+            for i, (h, o, first) in enumerate(zip(hashes.tolist(), owner.tolist(), head.tolist())):
+                previous = None if first else int(before) if i == 0 else int(hashes[i - 1])
+                assert first or previous == last[lo + o]
+                out.append((lo + o, h, first))
+                last[lo + o] = h
+        return out
+
+    whole = stream()
+    monkeypatch.setattr(ngram_lm, "_BYTES", 16)
+    assert stream() == whole and [sum(o == i for o, _, _ in whole) for i in range(len(texts))] == [len(t.split()) + 1 for t in texts]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["a", "b", "c d", "e"]) for _ in range(1_500_000))
+    rows = [(1, long, True), (2, "a b " * 40, True), (3, "x" * 3_000_000, False), (4, long[: len(long) // 2], False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(2)
+    _, want = brute(rows)
+    got = sorted(tuple(r) for r in ngram_lm.score(df, ngram_lm.train(df, F.col("train"))).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(g[3:] == pytest.approx(w[3:]) for g, w in zip(got, want))
+
+
 def test_no_training_text_and_no_text(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = ngram_lm.train(df, F.lit(False))
