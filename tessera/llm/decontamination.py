@@ -1,13 +1,15 @@
 """Benchmark decontamination: item-sized windows of text close to a benchmark item.
 
-Items and windows of as many words are multisets of five-word shingles. A window must
-hold enough of an item's shingles to reach the similarity at all (an exact bound, by an
-inverted index of the items' shingles); the weighted Jaccard similarity of the two
-multisets decides on every window that does, so none is missed.
-
-`Index.near` looks up SimHashes within a radius: the 64 bits are cut into four blocks, and
-fingerprints within the radius agree in some block up to a quarter of it. At similarity
-0.8 one to three in a hundred windows are beyond radius 15, so the search does without it.
+Items and windows of as many words are multisets of five-word shingles. Windows that hold
+enough of some item's shingles to reach the similarity at all (an exact bound, by an
+inverted index of the items' shingles) get a SimHash. A multi-index finds all items within
+a radius of it: the 64 bits are cut into eight blocks, and fingerprints within the radius
+agree in some block up to an eighth of it. The weighted Jaccard similarity of the two
+multisets decides on what is found.
+
+At similarity 0.8 fingerprints differ in 9.7 of 64 bits on average, with a deviation of
+2.9; radius 23 is 4.6 deviations above that, so about one window in 100,000 at exactly
+that similarity is missed, and fewer above it.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .textscan import LOWER, mix, pieces, word_bounds, word_hashes
+from ..functions.names import col
+from .common import kept_rows, text_of
+from .textscan import LOWER, mix, word_blocks, word_bounds, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 fingerprints differ in 9.7 of 64 bits on average (angle 27 degrees).
-RADIUS = 15
-_BLOCKS = 4
+RADIUS = 23
+_BLOCKS = 8
 _WIDTH = 64 // _BLOCKS
+#: Windows start within so many shingles if their fingerprints are made together.
+_SPAN = 1 << 13
 #: Items and their words that one pass over the documents takes; more are taken in further passes.
 PASS_ITEMS, PASS_WORDS = 2000, 1 << 20
 _PLACE = np.random.default_rng(31).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,12 +51,18 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def simhash(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the multisets hashes[s : s + size]."""
-    lo = int(starts.min())
-    bits = np.unpackbits(hashes[lo : int(starts.max()) + size].astype(">u8").view(np.uint8)).reshape(-1, 64)
-    ones = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(bits, axis=0, dtype=np.int64)))
-    over = 2 * (ones[starts - lo + size] - ones[starts - lo]) > size
-    return np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64)
+    """Fingerprints of the multisets hashes[s : s + size], for ascending starts."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = int(starts[at])
+        to = int(np.searchsorted(starts, lo + _SPAN))
+        part = starts[at:to] - lo
+        bits = np.unpackbits(hashes[lo : lo + int(part[-1]) + size].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        ones = np.zeros((len(bits) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=ones[1:])
+        out[at:to] = np.packbits(2 * (ones[part + size] - ones[part]) > size, axis=1).view(">u8").ravel()
+        at = to
+    return out
 
 
 def _text_words(text: str | None) -> np.ndarray:
@@ -96,6 +106,7 @@ class Index:
             bounds = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(known)))))
             self.holders[k] = bounds, np.array([n for _, n in pairs], np.int64)[order]
         self.words = np.array([i.words for i in self.items], np.int64)
+        self.longest = int(self.words.max(initial=1))
 
     @cached_property
     def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,33 +156,54 @@ class Index:
                 found.update((int(w), int(i)) for i in item[lo[w] : hi[w]])
         return sorted((w, i) for w, i in found if (int(prints[w]) ^ self.items[i].print).bit_count() <= self.radius)
 
-    def search(self, words: np.ndarray) -> list[tuple[object, float, int, int]]:
-        """(item, similarity, first word, words) of the best window for each item reached; `words` are a text's hashes."""
+    def _best(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """Of each item reached (by its place): similarity, first word and words of its best window."""
         best: dict[int, tuple[float, int, int]] = {}
-        n, t = len(words), self.similarity
+        n = len(words)
         for k in self.known:
             if n < k:
                 continue
-            h = shingles(words, k)
+            h, windows = shingles(words, k), {}
             for i, places, size, need in self._holding(h, k, n):
-                item, held = self.items[i], np.zeros(len(h) + 1, np.int64)
+                held = np.zeros(len(h) + 1, np.int64)
                 held[places + 1] = 1
                 held = np.cumsum(held)
-                for s in np.flatnonzero(held[size:] - held[:-size] >= need).tolist():
+                windows.setdefault((self.items[i].words, size), []).append(np.flatnonzero(held[size:] - held[:-size] >= need))
+            for (count, size), found in windows.items():
+                starts = np.unique(np.concatenate(found))
+                for w, i in self.near(simhash(h, starts, size), count):
+                    item, s = self.items[i], int(starts[w])
                     both = sum((Counter(h[s : s + size].tolist()) & item.counts).values())
                     value = both / (size + item.size - both)
-                    if value >= t and (i not in best or (value, -s) > (best[i][0], -best[i][1])):
+                    if value >= self.similarity and (i not in best or (value, -s) > (best[i][0], -best[i][1])):
                         best[i] = (value, s, min(item.words, n))
+        return best
+
+    def search(self, words: np.ndarray) -> list[tuple[object, float, int, int]]:
+        """(item, similarity, first word, words) of the best window for each item reached; `words` are a text's hashes."""
+        best = self._best(words)
         return [(self.items[i].id, *best[i]) for i in sorted(best)]
 
     def rows(self, texts: pa.Array):
         """(row, matches) for each text (binary, no nulls) that holds something of an item."""
         if not self.items:
             return
-        for lo, hi, data, starts, ends in pieces(texts):
+        held, best, at = np.zeros(0, np.uint64), {}, 0
+        for lo, hi, data, starts, ends, opens, closes in word_blocks(texts):
             data = LOWER[data]
             first, last, doc = word_bounds(data, starts, ends)
             words = word_hashes(data, first, last)
+            if not (opens and closes):  # a stretch of a long text; what the longest item may need is kept for the next
+                held, best, at = (words, {}, 0) if opens else (np.concatenate((held, words)), best, at)
+                if len(held) >= self.longest or closes and not at:
+                    for i, (value, start, n) in self._best(held).items():
+                        if i not in best or value > best[i][0]:
+                            best[i] = value, start + at, n
+                    cut = max(len(held) - self.longest + 1, 0)
+                    held, at = held[cut:], at + cut
+                if closes and best:
+                    yield lo, [(self.items[i].id, *best[i]) for i in sorted(best)]
+                continue
             bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
             touched: set[int] = set()
             for k in self.known:
@@ -207,7 +239,7 @@ def contamination(
     an item is one window. Null texts count as empty. Repeated rows give repeated
     matches; empty tables give none.
     """
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
+    rows = docs.select(col(id_col), text_of(col(text_col)).alias("_text"))
     id_type = rows.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, similarity double, start_word long, n_words long"
@@ -233,7 +265,11 @@ def contamination(
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` in which no item is found, in one pass and without a join; columns unchanged."""
+    """The rows of `docs` in which no item is found, without a join; columns unchanged, whatever their names.
+
+    Null texts count as empty and stay; repeated rows all stay or go; an empty table stays
+    empty, and an empty benchmark takes nothing out.
+    """
     place = docs.columns.index(text_col)
 
     def one_pass(frame, items):
@@ -247,7 +283,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 clean[dirty] = False
                 yield batch.filter(pa.array(clean))
 
-        return frame.mapInArrow(run, frame.schema)
+        return kept_rows(frame, run)
 
     for items in _passes(benchmark, item_col, "text"):
         docs = one_pass(docs, items)

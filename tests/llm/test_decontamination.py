@@ -68,6 +68,19 @@ def test_equals_brute_force(spark):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((d[0] for i, d in enumerate(docs) if i not in dirty), key=str)
 
 
+def test_long_texts_in_blocks_give_the_same(monkeypatch):
+    from tessera.llm import textscan
+
+    docs, items = corpus()
+    docs += [(300, f"{items[3][1]} " + "z y " * 40 + items[3][1] + "   \n" * 30), (301, "one two " * 60), (302, " ".join(items[8][1].split()[:-1]))]
+    raw, blocks = pa.array([(t or "").encode() for _, t in docs if len(t or "") < 10**5], pa.binary()), textscan.word_blocks
+    index = dc.Index(items)
+    whole = list(index.rows(raw))
+    for size in (9, 100, 1000):
+        monkeypatch.setattr(dc, "word_blocks", lambda t, n=size: blocks(t, n))
+        assert list(index.rows(raw)) == whole
+
+
 def test_passes_and_empty_tables(spark, monkeypatch):
     docs, items = corpus()
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
