@@ -44,6 +44,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the frame does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{base}{i or ''}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
+def kept_rows(df: DataFrame, run) -> DataFrame:
+    """Those rows that `run` leaves of Arrow batches; columns come in order and may have any names."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text with null read as empty."""
     c = F.col(col) if isinstance(col, str) else col

@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold_of, text_of
-from .textscan import LOWER, pieces, word_bounds, word_hashes
+from ..functions.names import col
+from .common import fold_of, kept_rows, text_of
+from .textscan import LOWER, word_blocks, word_bounds, word_hashes
 
 #: Byte classes, in this order: lower, upper, digit, space, line end, other white space, bar, symbol,
 #: angle, exclamation, stop, comma, other mark, control, lead byte, low continuation, high continuation.
@@ -40,57 +42,74 @@ N_FEATURES = _CLASSES + _WORD_FEATURES
 DECAY = 3e-4
 
 
+def _repeats(doc: np.ndarray, hashed: np.ndarray, times: np.ndarray):
+    """(doc, word, times) of distinct words of each text, in order."""
+    order = np.lexsort((hashed, doc))
+    h, d, t = hashed[order], doc[order], times[order]
+    head = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+    return d[head], h[head], np.add.reduceat(t, head) if len(head) else t
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(class counts and sums over words of each text, distinct words, each text's first and last word)."""
+    n = len(starts)
+    kind = _CLASS[data]
+    owner = np.repeat(np.arange(n), ends - starts)
+    count = np.bincount(owner * _CLASSES + kind, minlength=n * _CLASSES).reshape(n, _CLASSES)
+    first, last, doc = word_bounds(data, starts, ends)
+    hashed = word_hashes(LOWER[data], first, last)
+    length = (last - first).astype(np.float64)
+    upper = np.concatenate(([0], np.cumsum(kind == 1)))
+    letters = np.concatenate(([0], np.cumsum(kind <= 1)))
+    marks = np.concatenate(([0], np.cumsum((kind >= 6) & (kind <= 8))))
+    span = lambda c: c[last] - c[first]
+    total = lambda x: np.bincount(doc, x, n)
+    same = np.concatenate((np.zeros(min(len(doc), 1), bool), (hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])))
+    sums = [
+        np.ones(len(doc)), length, length**2, same, (span(upper) > 1) & (span(upper) == span(letters)), (span(upper) > 0) & (kind[first] == 1),
+        span(marks) > 0, kind[last - 1] == 9, kind[last - 1] == 10,
+    ]
+    return np.concatenate((count, np.stack([total(x) for x in sums], 1)), 1), _repeats(doc, hashed, np.ones(len(doc))), hashed[:1], hashed[-1:]
+
+
+def _statistics(sums: np.ndarray, repeats: tuple) -> np.ndarray:
+    n = len(sums)
+    count, (words, length, squares, *shares) = sums[:, :_CLASSES], sums[:, _CLASSES:].T
+    out = np.zeros((n, N_FEATURES))
+    out[:, :_CLASSES] = count / np.maximum(count.sum(1), 1)[:, None]
+    per = np.maximum(words, 1)
+    same, capitals, title, marks, cried, stopped = (x / per for x in shares)
+    d, _, times = repeats
+    distinct, most = np.bincount(d, minlength=n), np.zeros(n)
+    np.maximum.at(most, d, times)
+    average = length / per
+    out[:, _CLASSES:] = np.stack(
+        [
+            np.log1p(words), average / 10, np.sqrt(np.maximum(squares / per - average**2, 0)) / 10, same, distinct / per, most / per, np.bincount(d, times * np.log(times), n) / per,
+            capitals, title, marks, cried, stopped, np.log1p(words / (count[:, 4] + 1)), np.bincount(d, times > 1, n) / np.maximum(distinct, 1),
+        ],
+        axis=1,
+    )
+    return out * (count.sum(1) > 0)[:, None]
+
+
 def features(texts: pa.Array) -> np.ndarray:
-    """A row of statistics for each text (binary, no nulls); all zeros for an empty one."""
+    """A row of statistics for each text (binary, no nulls); all zeros for an empty one.
+
+    A very long text is taken in blocks; only its distinct words are held.
+    """
     out = np.zeros((len(texts), N_FEATURES), np.float64)
-    for lo, hi, data, starts, ends in pieces(texts):
-        n = hi - lo
-        kind = _CLASS[data]
-        owner = np.repeat(np.arange(n), ends - starts)
-        count = np.bincount(owner * _CLASSES + kind, minlength=n * _CLASSES).reshape(n, _CLASSES)
-        size = np.maximum(ends - starts, 1)[:, None]
-        out[lo:hi, :_CLASSES] = count / size
-        first, last, doc = word_bounds(data, starts, ends)
-        if not len(first):
-            continue
-        words = np.bincount(doc, minlength=n)
-        per = np.maximum(words, 1)
-        hashed = word_hashes(LOWER[data], first, last)
-        length = (last - first).astype(np.float64)
-        upper = np.concatenate(([0], np.cumsum(kind == 1)))
-        letters = np.concatenate(([0], np.cumsum(kind <= 1)))
-        marks = np.concatenate(([0], np.cumsum((kind >= 6) & (kind <= 8))))
-        span = lambda c: c[last] - c[first]
-        mean = lambda x: np.bincount(doc, x, n) / per
-        same = np.concatenate(([False], (hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])))
-        order = np.lexsort((hashed, doc))
-        h, d = hashed[order], doc[order]
-        head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-        times = np.diff(np.append(head, len(h))).astype(np.float64)
-        distinct = np.bincount(d[head], minlength=n)
-        most = np.zeros(n)
-        np.maximum.at(most, d[head], times)
-        average = mean(length)
-        lines = count[:, 4] + 1
-        out[lo:hi, _CLASSES:] = np.stack(
-            [
-                np.log1p(words),
-                average / 10,
-                np.sqrt(np.maximum(mean(length**2) - average**2, 0)) / 10,
-                mean(same),
-                distinct / per,
-                most / per,
-                np.bincount(d[head], times * np.log(times), n) / per,
-                mean((span(upper) > 1) & (span(upper) == span(letters))),
-                mean((span(upper) > 0) & (kind[first] == 1)),
-                mean(span(marks) > 0),
-                mean(kind[last - 1] == 9),
-                mean(kind[last - 1] == 10),
-                np.log1p(words / lines),
-                np.bincount(d[head], times > 1, n) / np.maximum(distinct, 1),
-            ],
-            axis=1,
-        )
+    for lo, hi, data, starts, ends, opens, closes in word_blocks(texts):
+        sums, repeats, first, last = _sums(data, starts, ends)
+        if not (opens and closes):
+            if not opens:
+                sums = sums + held[0]  # noqa: F821
+                sums[0, _CLASSES + 3] += len(first) and len(held[2]) and first[0] == held[2][0]  # noqa: F821  the same word over the edge
+                repeats = _repeats(*(np.concatenate(x) for x in zip(held[1], repeats)))  # noqa: F821
+                last = last if len(last) else held[2]  # noqa: F821
+            held = sums, repeats, last
+        if closes:
+            out[lo:hi] = _statistics(sums, repeats)
     return out
 
 
@@ -152,6 +171,23 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
+def risk_slope(prior: float):
+    """Derivative of the non-negative risk by each output; where its second part is below zero, of that part's negative.
+
+    Outputs are those of `n` positives, then of unlabelled texts; the loss is logistic.
+    """
+
+    def slope(z: np.ndarray, n: int) -> np.ndarray:
+        p, u = _sigmoid(z[:n]), _sigmoid(z[n:])
+        negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
+        down = np.concatenate((-prior * p / n, u / len(u)))
+        if negative < 0:  # the unbiased estimate has gone below zero: walk it back
+            return -down
+        return down + np.concatenate((prior * (p - 1) / n, np.zeros(len(u))))
+
+    return slope
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, units: int = 24, rounds: int = 1500, batch: int = 512, seed: int = 7) -> Model:
     """Learn from feature rows of trusted positives and of unlabelled texts."""
     x = np.concatenate((positive, unlabelled))
@@ -172,16 +208,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, units: int = 24, rounds: i
         priors.append(estimate_prior(*[_hidden(x[g], w) @ w[2] + w[3] for g in own]))
     prior = float(np.mean(priors))
 
-    def risk(z, n):
-        p, u = _sigmoid(z[:n]), _sigmoid(z[n:])
-        negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
-        down = np.concatenate((-prior * p / n, u / len(u)))
-        if negative < 0:  # the unbiased estimate has gone below zero: walk it back
-            return -down
-        up = np.concatenate((prior * (p - 1) / n, np.zeros(len(u))))
-        return up + down
-
-    return Model(centre, scale, _train(x, risk, units, rounds, batch, groups, seed + 1, DECAY), prior)
+    return Model(centre, scale, _train(x, risk_slope(prior), units, rounds, batch, groups, seed + 1, DECAY), prior)
 
 
 def _sample(rows: DataFrame, keys: list, bound: int, seed: int) -> DataFrame:
@@ -219,19 +246,36 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """id (or the columns `keep`) and the score as column `name`, one row per input row.
 
-    Null and empty texts are scored like any other (their statistics are zeros). Without
-    a model every score is 0.5.
+    Null and empty texts are scored like any other (their statistics are zeros), very long
+    ones in blocks. Without a model every score is 0.5. An empty table gives no rows.
     """
     keep = keep or [id_col]
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text_col).alias("__scored"))
+    rows = docs.select(*[col(c).alias(f"_{i}") for i, c in enumerate(keep)], text_of(col(text_col)).alias("_scored"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_scores(model, b.column(len(keep))), pa.float64())], names=[*(f"_{i}" for i in range(len(keep))), "score"])
+
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(*keep, name)
+
+
+def _scores(model: Model | None, texts: pa.Array) -> np.ndarray:
+    if model is None or not len(texts):
+        return np.full(len(texts), 0.5)
+    texts = texts.fill_null("") if texts.null_count else texts
+    return model.score(features(texts.cast(pa.binary())))
+
+
+def above(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose texts score `least` or more; columns are unchanged, whatever their names.
+
+    Null texts count as empty; without a model, with every score at 0.5, all rows stay or none.
+    """
+    place = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            if model is None:
-                s = np.full(len(b), 0.5)
-            else:
-                s = model.score(features(b.column(len(keep)).cast(pa.binary()))) if len(b) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*keep, name])
-
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, `{name}` double")
+            yield b.filter(pa.array(_scores(model, b.column(place)) >= least))
+
+    return kept_rows(docs, run)

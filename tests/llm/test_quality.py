@@ -1,3 +1,5 @@
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -17,6 +19,69 @@ def test_features_do_not_depend_on_the_batch():
         assert np.allclose(qc.features(pa.array([t], pa.binary()))[0], whole[i])
 
 
+def plain_features(text):
+    """The statistics of one text, word by word."""
+    if not text:
+        return [0.0] * qc.N_FEATURES
+    kinds = [0] * 17
+    for b in text:
+        c = chr(b)
+        kinds[
+            0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() and b < 128 else 3 if c == " " else 4 if c == "\n" else 5 if c in "\t\v\f\r" else 6 if c == "|"
+            else 7 if c in "#*$%&" else 8 if c in "<>" else 9 if c == "!" else 10 if c == "." else 11 if c == "," else 13 if b < 32 or b == 127 else 14 if b >= 0xC0
+            else 15 if 0x80 <= b < 0x9F else 16 if b >= 0x9F else 12
+        ] += 1
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", text) if w]
+    out = [k / len(text) for k in kinds]
+    if not words:
+        return out + [0.0] * 14
+    n, low = len(words), [w.lower() for w in words]
+    times, lengths = Counter(low), [len(w) for w in words]
+    mean = sum(lengths) / n
+    is_upper = lambda b: 65 <= b <= 90
+    capitals = [all(is_upper(b) for b in w if is_upper(b) or 97 <= b <= 122) and sum(map(is_upper, w)) > 1 for w in words]
+    return out + [
+        math.log1p(n), mean / 10, math.sqrt(max(sum(x * x for x in lengths) / n - mean**2, 0)) / 10, sum(a == b for a, b in zip(low, low[1:])) / n, len(times) / n, max(times.values()) / n,
+        sum(t * math.log(t) for t in times.values()) / n, sum(capitals) / n, sum(is_upper(w[0]) for w in words) / n, sum(any(b in b"|#*$%&<>" for b in w) for w in words) / n,
+        sum(w.endswith(b"!") for w in words) / n, sum(w.endswith(b".") for w in words) / n, math.log1p(n / (kinds[4] + 1)), sum(t > 1 for t in times.values()) / len(times),
+    ]
+
+
+def test_features_equal_a_plain_count_over_any_blocks(monkeypatch):
+    from tessera.llm import textscan
+
+    rng = random.Random(4)
+    pool = ["the", "The", "THE", "A!", "b.", "c,", "$5", "<b>", "é", "\n", "\t", "x1", "#|*", "\x01", "Aé", "ÀB", "AB-CD"]
+    texts = ["", " ", "\n \n", "a", *(rng.choice([" ", "  ", "\n"]).join(rng.choices(pool, k=rng.randint(1, 80))) for _ in range(60))]
+    raw = pa.array([t.encode() for t in texts], pa.binary())
+    want = [plain_features(t.encode()) for t in texts]
+    assert np.allclose(qc.features(raw), want)
+    blocks = textscan.word_blocks
+    for size in (5, 40):
+        monkeypatch.setattr(qc, "word_blocks", lambda t, n=size: blocks(t, n))
+        assert np.allclose(qc.features(raw), want)
+
+
+def test_the_risk_is_the_non_negative_one():
+    rng = np.random.default_rng(2)
+    prior, n = 0.4, 25
+    for shift in (0.0, 6.0):  # with every positive far on the good side and none unlabelled there, the negative part is below zero
+        z = rng.normal(0, 1, 60) + np.where(np.arange(60) < n, shift, -shift)
+        soft = lambda v: np.logaddexp(0, v)
+
+        def parts(z):
+            return prior * soft(-z[:n]).mean(), soft(z[n:]).mean() - prior * soft(z[:n]).mean()
+
+        slope = qc.risk_slope(prior)(z, n)
+        down = parts(z)[1]
+        assert (down < 0) == (shift > 0)
+        value = (lambda z: sum(parts(z))) if down >= 0 else (lambda z: -parts(z)[1])
+        for i in range(60):
+            e = np.zeros(60)
+            e[i] = 1e-6
+            assert abs((value(z + e) - value(z - e)) / 2e-6 - slope[i]) < 1e-6
+
+
 def test_prior_and_risk_on_known_mixtures():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.7):
@@ -49,6 +114,10 @@ def test_classifier_over_odd_rows(spark):
     assert qc.score(docs.limit(0), None).count() == 0
     named = qc.score(docs, None, keep=docs.columns, name="__q")
     assert named.columns == ["doc_id", "text", "score", "__q"]
+    odd = spark.createDataFrame([(1, "x", 2, 3), (1, None, 2, 3)], "doc_id long, text string, `a.b` int, __quality int")
+    model = qc.fit(qc.features(pa.array([b"good text here."] * 9)), qc.features(pa.array([b"x", b"bad", b"good text here."] * 9)), rounds=20)
+    assert sorted(map(tuple, qc.above(odd, model, 0.0).collect()), key=str) == [(1, "x", 2, 3), (1, None, 2, 3)] and qc.above(odd, model, 1.1).columns == odd.columns
+    assert qc.score(odd, model, keep=["a.b"]).columns == ["a.b", "score"]
 
 
 def brute_rules(rows, limit):
