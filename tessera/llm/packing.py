@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.names import col
 from .common import text_of
 from .tokens import encoder
 
@@ -150,7 +150,7 @@ def pack(
     rows are documents of their own; an empty table gives no rows.
     """
     keep = keep or [id_col]
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text_col).alias("_packed"))
+    rows = docs.select(*[col(c) for c in keep], text_of(col(text_col)).alias("_packed"))
     types = [rows.schema[c].dataType.simpleString() for c in keep]
 
     def run(batches):

@@ -9,7 +9,6 @@ one of them: copies are merged into one fingerprint before anything is emitted.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -17,39 +16,57 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, text_key, text_of
+from ..functions.names import col, cols
+from .common import free_name, stored, text_key, text_of
 from .graph import components
-from .textscan import LOWER, mix, pieces, word_bounds, word_hashes
+from .textscan import LOWER, mix, word_blocks, word_bounds, word_hashes
 
 BITS = 64
 _BLOCK = 1 << 16
+#: Bytes of a text whose words are taken together.
+_CHUNK = 1 << 20
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :]) & 1).astype(np.int64)
 _BYTE_BASE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
 
+def _chunks(text: bytes):
+    """The text in parts cut behind white space."""
+    at = 0
+    while at < len(text):
+        to = at + _CHUNK
+        while to < len(text) and text[to - 1] not in b" \t\n\x0b\f\r":
+            to += 1
+        yield text[at:to]
+        at = to
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of a text's word shingles, repeats included.
 
     A-Z are lower-cased and words are runs without ASCII white space. A text with
     fewer words than a shingle is one shingle; one without words has fingerprint 0.
-    A bit is set if it is set in more than half of the shingles' XXH64 values.
+    A bit is set if it is set in more than half of the shingles' XXH64 values. A very
+    long text is taken in parts.
     """
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    digest, n = xxhash.xxh64_digest, len(starts)
-    ones = np.zeros((8, 8), np.int64)
-    for at in range(0, n, _BLOCK):
-        raw = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK])])
-        cells = np.frombuffer(raw, np.uint8).reshape(-1, 8) + _BYTE_BASE
-        ones += np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
+    digest, ones, n, words = xxhash.xxh64_digest, np.zeros((8, 8), np.int64), 0, []
+    for part in _chunks(text):
+        words += part.lower().split()
+        if len(words) < shingle:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
+        ends = ends[shingle - 1 :].tolist()
+        for at in range(0, len(starts), _BLOCK):
+            raw = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK])])
+            cells = np.frombuffer(raw, np.uint8).reshape(-1, 8) + _BYTE_BASE
+            ones += np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
+        n += len(starts)
+        words = words[len(words) - shingle + 1 :]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), seed) if words else 0
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -62,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=[id_col, "fp"])
 
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
+    rows = docs.select(col(id_col), text_of(col(text_col)).alias("_text"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
 
 
@@ -112,22 +129,7 @@ def near_duplicates(
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-# Near duplicates by shingle similarity: a prefix filter proposes, the shingles decide.
-
-
-#: Bits of a word fingerprint.
-WORD_BITS = 32
-
-
-def _bits_over_half(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each stretch of the hashes, the bits that more than half of them have."""
-    out = np.zeros(len(bounds) - 1, np.uint64)
-    cells = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _BYTE_BASE
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        if a < b:
-            ones = np.bincount(cells[a:b].ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
-            out[i] = int.from_bytes(np.packbits(2 * ones > b - a).tobytes(), "big")
-    return out
+# Near duplicates by shingle similarity: fingerprints and a prefix filter propose, the shingles decide.
 
 
 def _shingles_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -137,32 +139,76 @@ def _shingles_of(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _text_prints(texts: pa.Array, tables: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: fingerprints of its words under several hash functions, the fingerprint of its distinct shingles, and their number."""
-    n_prints = -(-tables // 2)  # one 64-bit fingerprint is two of half the width
-    out, whole, size = np.zeros((len(texts), tables), np.int64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
-    for lo, hi, data, starts, ends in pieces(texts):
-        data = LOWER[data]
-        first, last, doc = word_bounds(data, starts, ends)
-        hashes = word_hashes(data, first, last)
-        bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-        for p in range(n_prints):
-            both = _bits_over_half(mix(hashes + np.uint64((p + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), bounds)
-            out[lo:hi, 2 * p] = (both >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-            if 2 * p + 1 < tables:
-                out[lo:hi, 2 * p + 1] = (both & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-        sets = [np.unique(_shingles_of(hashes[a:b], min(shingle, b - a))) if a < b else hashes[:0] for a, b in zip(bounds[:-1], bounds[1:])]
-        at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-        whole[lo:hi], size[lo:hi] = _bits_over_half(np.concatenate(sets), at), np.diff(at)
-    return out, whole, size
+#: A byte's bits, the highest first, as eight bytes of one word: sums of up to 255 of them count each bit.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each run hashes[starts[i] : starts[i + 1]] (none empty), the bits that more than half have."""
+    size = np.diff(np.append(starts, len(hashes)))
+    subs = -(-size // 255)
+    first = np.cumsum(subs) - subs
+    at = np.repeat(starts, subs) + 255 * (np.arange(int(subs.sum())) - np.repeat(first, subs))
+    cells = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.add.reduceat(_SPREAD[cells[:, j]], at)[:, None].view(np.uint8) for j in range(8)], axis=1)
+    return np.packbits(2 * np.add.reduceat(ones, first, axis=0, dtype=np.int64) > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.concatenate((np.ones(min(len(a), 1), bool), a[1:] != a[:-1]))]
+
+
+def sketches(texts: pa.Array, shingle: int, prints: bool = True):
+    """(first row, bounds, shingles, fingerprints) of runs of texts.
+
+    `shingles` holds the sorted distinct 32-bit hashes of each text's word shingles, text
+    after text as `bounds` say; A-Z are lower-cased, and a text with fewer words than a
+    shingle is one. Fingerprints are SimHashes of the 64-bit hashes, repeats included.
+    """
+    carried, found, ones, n = np.zeros(0, np.uint64), [], np.zeros(64, np.int64), 0
+    for lo, hi, data, starts, ends, opens, closes in word_blocks(texts):
+        first, last, doc = word_bounds(LOWER[data], starts, ends)
+        words = word_hashes(LOWER[data], first, last)
+        if not (opens and closes):  # a block of one very long text
+            words = np.concatenate((carried, words)) if not opens else words
+            h = _shingles_of(words, shingle)
+            found, ones, n = ([], np.zeros(64, np.int64), 0) if opens else (found, ones, n)
+            if not len(h) and closes and not n and len(words):
+                h = _shingles_of(words, len(words))
+            found.append(_distinct((h >> np.uint64(32)).astype(np.uint32)))
+            for at in range(0, len(h), _BLOCK):
+                ones += np.unpackbits(h[at : at + _BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+            n += len(h)
+            carried = words[max(len(words) - shingle + 1, 0) :]
+            if len(found) >= 16 or closes:
+                found = [_distinct(np.concatenate(found))]
+            if closes:
+                yield lo, np.array([0, len(found[0])]), found[0], np.packbits(2 * ones > n).view(">u8").astype(np.uint64)
+                carried, found = carried[:0], []
+            continue
+        size = np.bincount(doc, minlength=hi - lo)
+        begin = np.cumsum(size) - size
+        h = _shingles_of(words, shingle)
+        whole = doc[: len(h)] == doc[shingle - 1 :] if len(h) else np.zeros(0, bool)
+        h, owner = h[whole], doc[: len(whole)][whole]
+        few = np.flatnonzero((size > 0) & (size < shingle))
+        if len(few):
+            one = np.concatenate([_shingles_of(words[begin[i] : begin[i] + size[i]], int(size[i])) for i in few])
+            h, owner = np.concatenate((h, one)), np.concatenate((owner, few))
+        key = _distinct(owner.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
+        bounds = np.searchsorted(key, np.arange(hi - lo + 1, dtype=np.uint64) << np.uint64(32))
+        marks = np.zeros(hi - lo, np.uint64)
+        if prints and len(h):
+            order = np.argsort(owner, kind="stable")
+            own, at = np.unique(owner[order], return_index=True)
+            marks[own] = majority(h[order], at)
+        yield lo, bounds, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), marks
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of a text's word shingles (lower-cased A-Z); a shorter text is one shingle."""
-    data = LOWER[np.frombuffer(text, np.uint8)]
-    first, last, _ = word_bounds(data, np.array([0]), np.array([len(data)]))
-    words = word_hashes(data, first, last)
-    return np.unique((_shingles_of(words, min(shingle, len(words))) >> np.uint64(32)).astype(np.uint32)) if len(words) else np.zeros(0, np.uint32)
+    """Sorted distinct 32-bit hashes of one text's word shingles."""
+    return next((s for _, _, s, _ in sketches(pa.array([text], pa.binary()), shingle, False)), np.zeros(0, np.uint32))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -184,40 +230,42 @@ def _common_shingles(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle).astype(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["shingle"])
+            for _, _, found, _ in sketches(batch.column(1).cast(pa.binary()), shingle, False):
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["shingle"])
 
     rows = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy("shingle").collect()
     return np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], np.int64)
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a sorted set, common ones last, of which two sets of at least this similarity share one.
+def prefixes(bounds: np.ndarray, shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, shingles) of the prefixes of sorted sets: their first shingles, common ones last, of which similar sets share one.
 
     The similarity asks for `similarity * n` common shingles of a set of n, so not all of
     them can be behind the first n - similarity * n + 1.
     """
-    take = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    if not len(common[0]) or not len(shingles):
-        return shingles[:take]
-    at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
-    often = np.where(common[0][at] == shingles, common[1][at], 0)
-    if not often[:take].any():
-        return shingles[:take]
-    return shingles[np.argsort(often, kind="stable")[:take]]
+    size = np.diff(bounds)
+    take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    often = np.zeros(len(shingles), np.int64)
+    if len(common[0]) and len(shingles):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        often = np.where(common[0][at] == shingles, common[1][at], 0)
+    order = np.argsort(owner << 32 | np.minimum(often, (1 << 32) - 1), kind="stable")
+    early = np.arange(len(shingles)) - np.repeat(bounds[:-1], size) < np.repeat(take, size)
+    return np.concatenate(([0], np.cumsum(take))), shingles[order][early]
 
 
 #: Bits of the filter that spares texts without candidates from being shingled; its size is fixed.
 _FILTER_BITS = 1 << 22
 
 
-def _filter_of(slots: DataFrame) -> np.ndarray:
+def _filter_of(slots: DataFrame) -> bytes:
     """A bitmap of the slots: bounded, whatever their number; a full one lets everything through."""
     words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(_FILTER_BITS // 64, np.uint64)
+    out = np.zeros(_FILTER_BITS // 64, "<u8")
     for w in words:
         out[w["word"]] = w["bits"] % (1 << 64)
-    return out
+    return out.tobytes()
 
 
 def _similar(similarity: float):
@@ -231,22 +279,23 @@ def _similar(similarity: float):
 
 
 def _verified(plain: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) of text keys whose shingle sets are similar; only texts of some pair are shingled."""
-    pairs = stored(pairs, "candidates")
+    """Those of the stored pairs (u, v) of text keys whose shingle sets are similar; only texts of some pair are shingled."""
     slot = F.pmod(F.xxhash64("th"), F.lit(_FILTER_BITS)).alias("slot")
-    wanted = _filter_of(pairs.select(F.col("u").alias("th")).unionByName(pairs.select(F.col("v").alias("th"))).select(slot))
+    bitmap = _filter_of(pairs.select(F.col("u").alias("th")).unionByName(pairs.select(F.col("v").alias("th"))).select(slot))
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(F.col("slot") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    wanted = F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1
 
     def sets(batches):
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            some = np.flatnonzero((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            texts = batch.column(2).cast(pa.binary()).take(pa.array(some)).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], names=["th", "shingles"])
+            for lo, bounds, found, _ in sketches(batch.column(1).cast(pa.binary()), shingle, False):
+                n = len(bounds) - 1
+                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), blobs], names=["th", "shingles"])
 
-    named = plain.select("th", slot, "_text").mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
+    named = plain.select("th", slot, "_text").where(wanted).select("th", "_text").mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
     named = stored(named, "shingles")
     mine, others = named.select(F.col("th").alias("u"), F.col("shingles").alias("a")), named.select(F.col("th").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u binary, v binary")
+    return stored(pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u binary, v binary"), "links")
 
 
 def _likely(meetings: DataFrame, similarity: float) -> DataFrame:
@@ -262,41 +311,84 @@ def _likely(meetings: DataFrame, similarity: float) -> DataFrame:
     return meetings.groupBy("u", "v", "size", "_size").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared - behind).select("u", "v")
 
 
-def similar_links(plain: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _stars(entries: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs of each bucket's head with its other texts."""
+    met = entries.join(heads, "shingle").where(F.col("th") != F.col("_head.th"))
+    return _likely(met.select(F.least("th", "_head.th").alias("u"), F.greatest("th", "_head.th").alias("v"), "size", F.col("_head.size").alias("_size")), similarity)
+
+
+def _first(condition: Column | None = None) -> Column:
+    """Of a bucket's texts, the one whose prefix is shared most: of many copies, the one that is most like all."""
+    of = F.struct("rank", "th", "size")
+    return F.min(of if condition is None else F.when(condition, of)).alias("_head")
+
+
+def similar_links(plain: DataFrame, shingle: int, similarity: float, radius: int = 2) -> tuple[DataFrame, DataFrame]:
     """(texts, links): the distinct texts (th, place), and pairs (u, v) of their keys with similar shingle sets.
 
-    The links connect all texts that are similar. They come of an exact prefix-filter
-    join: each text emits a prefix of its shingles, and similar texts meet on enough of them.
-    First texts are verified against the least of their buckets. Then all pairs that
-    these links left apart and that meet often enough are, so that a large group of copies
-    costs no square of its size and an unrelated least text hides nothing. Sampled counts put common
-    shingles last, so that few texts meet on them.
+    The links connect all texts that are similar. Ball hashing of fingerprints proposes
+    first; what is similar beyond its radius comes of an exact prefix-filter join: each
+    text emits a prefix of its shingles, and similar texts meet on enough of them. There
+    the most central text of each bucket is tried against the others, then the most
+    central of those left apart, and last all pairs that these links left apart and that
+    meet often enough: a large group of copies costs no square of its size, and no text
+    hides another. Sampled counts put common shingles last, so that few texts meet on
+    them. Buckets are counted and given their heads by combined aggregates; joins on
+    them can be split where one is hot.
     """
     common = _common_shingles(plain, shingle)
 
-    def prefixes(batches):
+    def sketch(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            first = [prefix(x, similarity, common).astype(np.int64) if len(x) else np.array([-1]) for x in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["th", "place", "size", "prefix"])
-
-    marked = plain.mapInArrow(prefixes, "th binary, place long, size long, prefix array<long>")
-    marked = stored(marked.groupBy("th").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "prefixes")
-    entries = marked.select("th", "size", F.explode("prefix").alias("shingle"))
-    bucket = Window.partitionBy("shingle")
-    entries = entries.withColumns({"_n": F.count("*").over(bucket), "head": F.min(F.struct("th", "size")).over(bucket)}).where("_n > 1").drop("_n")
-    entries = stored(entries, "shared-shingles")
-    stars = entries.select(F.col("head.th").alias("u"), F.col("th").alias("v"), "size", F.col("head.size").alias("_size"))
-    stars = stored(_likely(stars.where(F.col("u") < F.col("v")), similarity), "stars")
-    links = stored(_verified(plain, stars, shingle, similarity), "star-links")
-    member = components(links).select(F.col("node").alias("th"), "root")
-    label = entries.drop("head").join(member, "th", "left").withColumn("label", F.coalesce("root", "th")).drop("root")
-    split = label.withColumns({"_a": F.min("label").over(bucket), "_b": F.max("label").over(bucket)}).where("_a <> _b").drop("_a", "_b")
-    split = stored(split, "split-buckets")
-    others = split.select(F.col("th").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
-    apart = split.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label"))
-    rest = _likely(apart, similarity).join(stars, ["u", "v"], "left_anti")
-    return marked.select("th", "place"), stored(links.unionByName(_verified(plain, rest, shingle, similarity)), "links")
+            for lo, bounds, found, marks in sketches(batch.column(2).cast(pa.binary()), shingle):
+                n = len(marks)
+                at, first = prefixes(bounds, found, similarity, common)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(first.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:2]), pa.array(np.diff(bounds)), pa.array(marks.view(np.int64)), lists], names=["th", "place", "size", "fp", "prefix"])
+
+    marked = plain.mapInArrow(sketch, "th binary, place long, size long, fp long, prefix array<long>")
+    marked = stored(marked.groupBy("th").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("size", "fp", "prefix"))), "sketches")
+    least = marked.groupBy("fp").agg(F.min("th").alias("u"))
+    same = marked.select("fp", F.col("th").alias("v")).join(least, "fp").select("u", "v").where("u <> v")
+    of = lambda side: least.select(F.col("fp").alias(f"_{side}"), F.col("u").alias(side))
+    ball = links(marked, radius).select(F.col("u").alias("_u"), F.col("v").alias("_v")).join(of("u"), "_u").join(of("v"), "_v").select("u", "v")
+    ordered = lambda p: p.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    tried = [stored(ordered(same.unionByName(ball)), "ball-pairs")]
+    found = [_verified(plain, tried[0], shingle, similarity)]
+
+    def verify(pairs: DataFrame, label: str) -> None:
+        for before in tried:
+            pairs = pairs.join(before, ["u", "v"], "left_anti")
+        tried.append(stored(pairs, label))
+        found.append(_verified(plain, tried[-1], shingle, similarity))
+
+    def labelled(entries: DataFrame) -> DataFrame:
+        """The entries of buckets whose texts are not all connected yet."""
+        all_links = found[0]
+        for more in found[1:]:
+            all_links = all_links.unionByName(more)
+        member = components(all_links).select(F.col("node").alias("th"), "root")
+        entries = entries.select("th", "size", "rank", "shingle").join(member, "th", "left").withColumn("label", F.coalesce("root", "th")).drop("root")
+        entries = stored(entries, "labelled")
+        split = entries.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle")
+        return stored(entries.join(split, "shingle"), "split-buckets")
+
+    empty = F.when(F.size("prefix") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.col("prefix"))  # texts without words are alike
+    entries = marked.select("th", "size", F.explode(empty).alias("shingle"))
+    again = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    entries = stored(entries.join(again, "shingle"), "shared-shingles")
+    rank = entries.groupBy("th").agg((-F.sum("n") / F.greatest(F.max("size"), F.lit(1))).alias("rank"))
+    entries = stored(entries.drop("n").join(rank, "th"), "ranked")
+    verify(_stars(entries, entries.groupBy("shingle").agg(_first()), similarity), "stars")
+    entries = labelled(entries)
+    top = entries.groupBy("shingle").agg(F.min(F.struct("rank", "th", "label")).alias("_top")).select("shingle", F.col("_top.label").alias("_label"))
+    second = entries.join(top, "shingle").groupBy("shingle").agg(_first(F.col("label") != F.col("_label")))
+    verify(_stars(entries, second, similarity), "second-stars")
+    entries = labelled(entries)
+    others = entries.select(F.col("th").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
+    apart = entries.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label"))
+    verify(_likely(apart, similarity), "rest")
+    return marked.select("th", "place"), stored(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]), "links")
 
 
 def first_of_similar(
@@ -308,20 +400,34 @@ def first_of_similar(
     least `similarity`; a group is all that are reached over similar texts.
 
     Of equal texts the row with the smallest id stays, of repeated rows one (a null id
-    comes last; ids that are no whole numbers are ordered by their hashes). Null texts count as empty; texts without words are similar to each
-    other. Columns are unchanged; an empty table stays empty.
+    comes last; ids that are no whole numbers are ordered by their hashes; rows of equal
+    id and text by a hash of their other columns). Null texts count as empty; texts without
+    words are similar to each other; very long texts are taken in blocks. Columns are
+    unchanged, whatever their names; an empty table stays empty. Rows that go are named by
+    their keys and taken out by an anti-join, so that rows are moved only if these are many.
     """
     names = docs.columns
-    key, number = text_key(text_of(text_col)), F.col(id_col)
+    key, number = text_key(text_of(col(text_col))), col(id_col)
     if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
-        number = F.shiftrightunsigned(F.xxhash64(id_col), 2)
-    place = F.coalesce(F.when(F.col(id_col).isNotNull(), number.cast("long")), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 2))
-    plain = docs.select(key.alias("th"), place.alias("place"), text_of(text_col).alias("_text"))
-    texts, links = similar_links(plain, shingle, similarity)
-    member = components(links).select(F.col("node").alias("th"), "root").join(texts, "th").select("th", "root", F.struct("place", "th").alias("_at"))
+        number = F.shiftrightunsigned(F.xxhash64(col(id_col)), 2)
+    place = F.coalesce(F.when(col(id_col).isNotNull(), number.cast("long")), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of(col(text_col))), 2))
+    rest = [n for n in names if n not in (id_col, text_col)]
+    other = F.xxhash64(F.lit(1), *[F.to_json(F.struct(col(n))) if isinstance(docs.schema[n].dataType, (T.MapType, T.VariantType)) else col(n) for n in rest])
+    plain = docs.select(key.alias("th"), place.alias("place"), text_of(col(text_col)).alias("_text"))
+    texts, links_ = similar_links(plain, shingle, similarity)
+    member = components(links_).select(F.col("node").alias("th"), "root").join(texts, "th").select("th", "root", F.struct("place", "th").alias("_at"))
     least = member.groupBy("root").agg(F.min("_at").alias("_least"))
-    later = stored(member.join(least, "root").where("_at <> _least").select("th"), "later-copies")
-    row = F.struct(place.alias("_place"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
-    rows = docs.groupBy(key.alias("th")).agg(F.min(row).alias("_row"))  # copies are combined before the shuffle
-    stay = rows.join(later, "th", "left_anti")
-    return stay.select(*[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(names)])
+    later = stored(member.join(least, "root").where("_at <> _least").select("th", F.lit(True).alias("_later")), "later-copies")
+    tag = free_name(docs, "_key")
+    marks = F.struct(key.alias("th"), place.alias("place"), other.alias("other"))
+    kinds = docs.select(marks.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    kinds = stored(kinds.select("k.*", "n"), "kinds")  # every kind of row, without its texts
+    first = kinds.groupBy("th").agg(F.min(F.struct("place", "other")).alias("_first"))
+    judged = kinds.join(first, "th").join(later, "th", "left")
+    stays = F.col("_later").isNull() & (F.struct("place", "other") == F.col("_first"))
+    judged = judged.select(F.struct("th", "place", "other").alias(tag), stays.alias("stays"), "n")
+    judged = stored(judged.where("not stays or n > 1"), "judged")
+    rows = docs.withColumn(tag, marks)
+    alone = rows.join(judged.select(tag), tag, "left_anti")
+    twins = rows.join(judged.where("stays").select(tag), tag, "left_semi").dropDuplicates([tag])
+    return alone.unionByName(twins).select(*cols(names))

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col, cols
 from .anchors import Anchors
-from .common import stored, text_key, text_of
+from .common import free_name, stored, text_key, text_of
 from .suffix_family import SuffixFamily, runs
 from .textscan import pieces
 
@@ -226,7 +227,7 @@ def _finish(length: int):
 
 def _texts_and_spans(docs: DataFrame, text_col: str, length: int, k: int = 64, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(th, t, copies) of distinct texts, and (th, spans) of those with repeats, spans not merged yet."""
-    text = text_of(text_col)
+    text = text_of(col(text_col))
     texts = docs.select(text_key(text).alias("th"), text.alias("t")).groupBy("th").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
     keys = stored(texts.select("th", "t", "copies").mapInArrow(_emit_anchors(length, k), "key long, th binary, n long"), "anchors")
     again = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
@@ -268,8 +269,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (a repeated row is a copy like any other). Other columns are ignored.
     """
     found = stored(repeated_spans(docs, text_col, length, **options), "spans")
-    rows = docs.select(F.col(id_col), text_key(text_of(text_col)).alias("th"))
-    return rows.join(found, "th").drop("th")
+    rows = docs.select(col(id_col), text_key(text_of(col(text_col))).alias("_th"))
+    return rows.join(found.withColumnRenamed("th", "_th"), "_th").drop("_th")
 
 
 def _cut(length: int):
@@ -301,12 +302,15 @@ def _cut(length: int):
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, **options) -> DataFrame:
     """`docs` with the repeated spans cut out of their texts, whole characters at a time.
 
-    Rows of which something was cut and nothing is left but white space go; other columns
-    and texts without repeats, null or empty ones too, are unchanged.
+    Rows of which something was cut and nothing is left but white space go; other columns,
+    whatever their names, and texts without repeats, null or empty ones too, are unchanged.
+    Repeated rows are copies like any other; an empty table stays empty.
     """
     texts, spans = _texts_and_spans(docs, text_col, length, **options)
     kept = texts.join(spans, "th", "left").select("th", "t", "copies", "spans").mapInArrow(_cut(length), "th binary, kept string, cut boolean")
-    kept = kept.select(F.col("th").alias("__th"), F.col("kept").alias("__kept"), F.col("cut").alias("__cut"))
-    rows = docs.withColumns({"__th": text_key(text_of(text_col)), "__null": F.col(text_col).isNull()}).drop(text_col)
-    rows = rows.join(kept, "__th").where(~F.col("__cut") | F.rlike("__kept", F.lit(r"[^\x20\x09-\x0D]")))
-    return rows.select(*[F.when(~F.col("__null"), F.col("__kept")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    key, mine = free_name(docs, "_key"), free_name(docs, "_kept")
+    kept = kept.select(F.col("th").alias(key), F.struct("kept", "cut").alias(mine))
+    rows = docs.withColumn(key, text_key(text_of(col(text_col))))
+    rows = rows.withColumn(text_col, F.when(col(text_col).isNull(), F.lit(True)))  # of the text only whether it was null is moved
+    rows = rows.join(kept, key).where(~F.col(f"{mine}.cut") | F.rlike(f"{mine}.kept", F.lit(r"[^\x20\x09-\x0D]")))
+    return rows.select(*[F.when(col(c).isNull(), F.col(f"{mine}.kept")).alias(c) if c == text_col else col(c) for c in docs.columns])

@@ -150,10 +150,67 @@ def test_one_of_a_group_stays_whose_base_is_not_the_first(spark):
     assert [r.doc_id for r in simhash.first_of_similar(df).collect()] == [1]
 
 
-def test_text_prints_do_not_depend_on_the_batch():
-    texts = [b"a b c", b"", b"x " * 3000, "é ß a b c d e".encode()]
-    whole = simhash._text_prints(pa.array(texts, pa.binary()), 3, 5)
-    for i, t in enumerate(texts):
-        assert all((a[i] == b[0]).all() for a, b in zip(whole, simhash._text_prints(pa.array([t], pa.binary()), 3, 5)))
-    assert whole[2].tolist() == [1, 0, 1, 3] and (whole[0] < 1 << 32).all()
+def plain_set(text, k):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(words[i : i + min(k, len(words))]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_sketches_do_not_depend_on_the_batch_or_the_blocks(monkeypatch):
+    from tessera.llm import textscan
+
+    rng = random.Random(9)
+    texts = [b"a b c", b"", b" \n", b"x " * 3000, "É ß a b c d e".encode(), b"A b C d e F", *(" ".join(rng.choices("abcd", k=rng.randint(0, 90))).encode() for _ in range(40))]
+    raw = pa.array(texts, pa.binary())
+
+    def flat(parts):
+        return [(bounds[i + 1] - bounds[i], found[bounds[i] : bounds[i + 1]].tolist(), int(marks[i])) for _, bounds, found, marks in parts for i in range(len(marks))]
+
+    whole = flat(simhash.sketches(raw, 5))
+    assert [n for n, _, _ in whole] == [len(plain_set(t, 5)) for t in texts]
+    assert whole == [x for t in texts for x in flat(simhash.sketches(pa.array([t], pa.binary()), 5))]
+    blocks = textscan.word_blocks
+    monkeypatch.setattr(simhash, "word_blocks", lambda t: blocks(t, 7))
+    assert flat(simhash.sketches(raw, 5)) == whole
     assert simhash.jaccard(np.array([], np.uint32), np.array([], np.uint32)) == 1.0
+    prints = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "_CHUNK", 5)
+    assert [simhash.fingerprint(t) for t in texts] == prints
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = random.Random(10)
+    common = (np.arange(0, 100, 3, dtype=np.uint32), np.array([rng.randint(6, 50) for _ in range(34)]))
+    for _ in range(300):
+        a = sorted(rng.sample(range(200), rng.randint(1, 60)))
+        b = sorted({*rng.sample(a, max(1, len(a) - rng.randint(0, 6))), *rng.sample(range(200), rng.randint(0, 6))})
+        bounds = np.array([0, len(a), len(a) + len(b)])
+        at, first = simhash.prefixes(bounds, np.array(a + b, np.uint32), 0.8, common)
+        if simhash.jaccard(np.array(a), np.array(b)) >= 0.8:
+            assert {*first[: at[1]].tolist()} & {*first[at[1] :].tolist()}
+
+
+def test_rows_that_stay_keep_their_columns_whatever_their_names(spark):
+    text = " ".join(str(i * 7919) for i in range(60))
+    rows = [(3, text, 1, "k"), (3, text, 1, "k"), (3, text, 2, "k"), (4, text + " more", 1, "k"), (None, "other text", 5, None), (None, "other text", 5, None), (9, None, 1, "n"), (8, "", 1, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `_KEY` string")
+    out = simhash.first_of_similar(df)
+    assert out.columns == df.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert [(r[0], r[1]) for r in got] == [(3, text), (8, ""), (None, "other text")] and set(got) <= set(rows)
+
+
+def test_a_large_group_of_edited_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    texts = sorted({*texts, " ".join(base), *(" ".join(word() for _ in range(80)) for _ in range(30))}, key=lambda t: t[::-1])
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    want = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_of_similar(df).collect()) == sorted(set(want)) and 30 < len(set(want)) < 100
