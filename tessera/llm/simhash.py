@@ -259,13 +259,13 @@ def prefixes(bounds: np.ndarray, shingles: np.ndarray, similarity: float, common
 _FILTER_BITS = 1 << 22
 
 
-def _filter_of(slots: DataFrame) -> bytes:
+def _filter_of(slots: DataFrame) -> np.ndarray:
     """A bitmap of the slots: bounded, whatever their number; a full one lets everything through."""
     words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(_FILTER_BITS // 64, "<u8")
+    out = np.zeros(_FILTER_BITS // 64, np.uint64)
     for w in words:
         out[w["word"]] = w["bits"] % (1 << 64)
-    return out.tobytes()
+    return out
 
 
 def _similar(similarity: float):
@@ -278,24 +278,28 @@ def _similar(similarity: float):
     return run
 
 
-def _verified(plain: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the stored pairs (u, v) of text keys whose shingle sets are similar; only texts of some pair are shingled."""
+def _verified(plain: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the stored pairs (u, v) of texts whose shingle sets are similar; only texts of some pair are shingled."""
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = stored(texts.select("node", "th").join(asked, "node"), "asked")
     slot = F.pmod(F.xxhash64("th"), F.lit(_FILTER_BITS)).alias("slot")
-    bitmap = _filter_of(pairs.select(F.col("u").alias("th")).unionByName(pairs.select(F.col("v").alias("th"))).select(slot))
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(F.col("slot") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    wanted = F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1
+    wanted = _filter_of(asked.select(slot))
 
     def sets(batches):
         for batch in batches:
-            for lo, bounds, found, _ in sketches(batch.column(1).cast(pa.binary()), shingle, False):
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array(((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
+            if not len(batch):
+                continue
+            for lo, bounds, found, _ in sketches(batch.column(2).cast(pa.binary()), shingle, False):
                 n = len(bounds) - 1
                 blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(found)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), blobs], names=["th", "shingles"])
 
-    named = plain.select("th", slot, "_text").where(wanted).select("th", "_text").mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
-    named = stored(named, "shingles")
-    mine, others = named.select(F.col("th").alias("u"), F.col("shingles").alias("a")), named.select(F.col("th").alias("v"), F.col("shingles").alias("b"))
-    return stored(pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u binary, v binary"), "links")
+    named = plain.select("th", slot, "_text").mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
+    named = stored(named.join(asked, "th").select("node", "shingles"), "shingles")
+    mine, others = named.select(F.col("node").alias("u"), F.col("shingles").alias("a")), named.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    return stored(pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"), "links")
 
 
 def _likely(meetings: DataFrame, similarity: float) -> DataFrame:
@@ -313,28 +317,33 @@ def _likely(meetings: DataFrame, similarity: float) -> DataFrame:
 
 def _stars(entries: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs of each bucket's head with its other texts."""
-    met = entries.join(heads, "shingle").where(F.col("th") != F.col("_head.th"))
-    return _likely(met.select(F.least("th", "_head.th").alias("u"), F.greatest("th", "_head.th").alias("v"), "size", F.col("_head.size").alias("_size")), similarity)
+    met = entries.join(heads, "shingle").where(F.col("node") != F.col("_head.node"))
+    return _likely(met.select(F.least("node", "_head.node").alias("u"), F.greatest("node", "_head.node").alias("v"), "size", F.col("_head.size").alias("_size")), similarity)
 
 
 def _first(condition: Column | None = None) -> Column:
     """Of a bucket's texts, the one whose prefix is shared most: of many copies, the one that is most like all."""
-    of = F.struct("rank", "th", "size")
+    of = F.struct("rank", "node", "size")
     return F.min(of if condition is None else F.when(condition, of)).alias("_head")
 
 
+#: All pairs that links left apart are formed when their meetings are fewer than so many for each entry of a bucket, or
+#: after so many rounds of heads. Both only change the order of the work.
+MEETINGS, ROUNDS = 1000, 4
+
+
 def similar_links(plain: DataFrame, shingle: int, similarity: float, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(texts, links): the distinct texts (th, place), and pairs (u, v) of their keys with similar shingle sets.
+    """(texts, links): the distinct texts (node, th, place), and pairs (u, v) of their nodes with similar shingle sets.
 
     The links connect all texts that are similar. Ball hashing of fingerprints proposes
     first; what is similar beyond its radius comes of an exact prefix-filter join: each
     text emits a prefix of its shingles, and similar texts meet on enough of them. There
-    the most central text of each bucket is tried against the others, then the most
-    central of those left apart, and last all pairs that these links left apart and that
-    meet often enough: a large group of copies costs no square of its size, and no text
-    hides another. Sampled counts put common shingles last, so that few texts meet on
-    them. Buckets are counted and given their heads by combined aggregates; joins on
-    them can be split where one is hot.
+    the most central text of each bucket is tried against the others, then, as long as
+    many meet, the most central of those left apart, and last all pairs that these links
+    left apart and that meet often enough: a large group of copies costs no square of its
+    size, and no text hides another. Sampled counts put common shingles last, so that few
+    texts meet on them. Buckets are counted and given their heads by combined aggregates;
+    joins on them can be split where one is hot.
     """
     common = _common_shingles(plain, shingle)
 
@@ -347,48 +356,53 @@ def similar_links(plain: DataFrame, shingle: int, similarity: float, radius: int
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:2]), pa.array(np.diff(bounds)), pa.array(marks.view(np.int64)), lists], names=["th", "place", "size", "fp", "prefix"])
 
     marked = plain.mapInArrow(sketch, "th binary, place long, size long, fp long, prefix array<long>")
-    marked = stored(marked.groupBy("th").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("size", "fp", "prefix"))), "sketches")
-    least = marked.groupBy("fp").agg(F.min("th").alias("u"))
-    same = marked.select("fp", F.col("th").alias("v")).join(least, "fp").select("u", "v").where("u <> v")
+    marked = marked.groupBy("th").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("size", "fp", "prefix")))
+    marked = stored(marked.withColumn("node", F.monotonically_increasing_id()), "sketches")  # written once, so the numbers stay
+    texts = marked.select("node", "th", "place")
+    least = marked.groupBy("fp").agg(F.min("node").alias("u"))
+    same = marked.select("fp", F.col("node").alias("v")).join(least, "fp").select("u", "v").where("u <> v")
     of = lambda side: least.select(F.col("fp").alias(f"_{side}"), F.col("u").alias(side))
     ball = links(marked, radius).select(F.col("u").alias("_u"), F.col("v").alias("_v")).join(of("u"), "_u").join(of("v"), "_v").select("u", "v")
-    ordered = lambda p: p.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    tried = [stored(ordered(same.unionByName(ball)), "ball-pairs")]
-    found = [_verified(plain, tried[0], shingle, similarity)]
+    ball = same.unionByName(ball).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    empty = F.when(F.size("prefix") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.col("prefix"))  # texts without words are alike
+    entries = marked.select("node", "size", F.explode(empty).alias("shingle"))
+    again = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    entries = stored(entries.join(again, "shingle"), "shared-shingles")
+    rank = entries.groupBy("node").agg((-F.sum("n") / F.greatest(F.max("size"), F.lit(1))).alias("rank"))
+    entries = stored(entries.drop("n").join(rank, "node"), "ranked")
+
+    tried, found = [], []
 
     def verify(pairs: DataFrame, label: str) -> None:
         for before in tried:
             pairs = pairs.join(before, ["u", "v"], "left_anti")
         tried.append(stored(pairs, label))
-        found.append(_verified(plain, tried[-1], shingle, similarity))
+        found.append(_verified(plain, texts, tried[-1], shingle, similarity))
 
-    def labelled(entries: DataFrame) -> DataFrame:
-        """The entries of buckets whose texts are not all connected yet."""
-        all_links = found[0]
+    def all_links() -> DataFrame:
+        out = found[0]
         for more in found[1:]:
-            all_links = all_links.unionByName(more)
-        member = components(all_links).select(F.col("node").alias("th"), "root")
-        entries = entries.select("th", "size", "rank", "shingle").join(member, "th", "left").withColumn("label", F.coalesce("root", "th")).drop("root")
-        entries = stored(entries, "labelled")
-        split = entries.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle")
-        return stored(entries.join(split, "shingle"), "split-buckets")
-
-    empty = F.when(F.size("prefix") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.col("prefix"))  # texts without words are alike
-    entries = marked.select("th", "size", F.explode(empty).alias("shingle"))
-    again = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    entries = stored(entries.join(again, "shingle"), "shared-shingles")
-    rank = entries.groupBy("th").agg((-F.sum("n") / F.greatest(F.max("size"), F.lit(1))).alias("rank"))
-    entries = stored(entries.drop("n").join(rank, "th"), "ranked")
-    verify(_stars(entries, entries.groupBy("shingle").agg(_first()), similarity), "stars")
-    entries = labelled(entries)
-    top = entries.groupBy("shingle").agg(F.min(F.struct("rank", "th", "label")).alias("_top")).select("shingle", F.col("_top.label").alias("_label"))
-    second = entries.join(top, "shingle").groupBy("shingle").agg(_first(F.col("label") != F.col("_label")))
-    verify(_stars(entries, second, similarity), "second-stars")
-    entries = labelled(entries)
-    others = entries.select(F.col("th").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
-    apart = entries.withColumnRenamed("th", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label"))
-    verify(_likely(apart, similarity), "rest")
-    return marked.select("th", "place"), stored(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]), "links")
+            out = out.unionByName(more)
+        return out
+
+    verify(ball.unionByName(_stars(entries, entries.groupBy("shingle").agg(_first()), similarity)).distinct(), "pairs")
+    for _ in range(ROUNDS):
+        member = components(all_links()).select("node", F.col("root"))
+        labelled = entries.select("node", "size", "rank", "shingle").join(member, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = stored(labelled, "labelled")
+        split = labelled.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle")
+        entries = stored(labelled.join(split, "shingle"), "split-buckets")
+        meet = entries.groupBy("shingle").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n") / 2)).first()
+        if not meet[0] or meet[1] <= MEETINGS * meet[0]:
+            break
+        top = entries.groupBy("shingle").agg(F.min(F.struct("rank", "node", "label")).alias("_top")).select("shingle", F.col("_top.label").alias("_label"))
+        second = entries.join(top, "shingle").groupBy("shingle").agg(_first(F.col("label") != F.col("_label")))
+        verify(_stars(entries, second, similarity), "pairs")
+    others = entries.select(F.col("node").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
+    apart = entries.withColumnRenamed("node", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label"))
+    verify(_likely(apart, similarity), "pairs")
+    return texts, all_links()
 
 
 def first_of_similar(
@@ -415,7 +429,7 @@ def first_of_similar(
     other = F.xxhash64(F.lit(1), *[F.to_json(F.struct(col(n))) if isinstance(docs.schema[n].dataType, (T.MapType, T.VariantType)) else col(n) for n in rest])
     plain = docs.select(key.alias("th"), place.alias("place"), text_of(col(text_col)).alias("_text"))
     texts, links_ = similar_links(plain, shingle, similarity)
-    member = components(links_).select(F.col("node").alias("th"), "root").join(texts, "th").select("th", "root", F.struct("place", "th").alias("_at"))
+    member = components(links_).join(texts, "node").select("th", "root", F.struct("place", "th").alias("_at"))
     least = member.groupBy("root").agg(F.min("_at").alias("_least"))
     later = stored(member.join(least, "root").where("_at <> _least").select("th", F.lit(True).alias("_later")), "later-copies")
     tag = free_name(docs, "_key")

@@ -229,6 +229,7 @@ def _texts_and_spans(docs: DataFrame, text_col: str, length: int, k: int = 64, h
     """(th, t, copies) of distinct texts, and (th, spans) of those with repeats, spans not merged yet."""
     text = text_of(col(text_col))
     texts = docs.select(text_key(text).alias("th"), text.alias("t")).groupBy("th").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
+    texts = stored(texts, "texts")
     keys = stored(texts.select("th", "t", "copies").mapInArrow(_emit_anchors(length, k), "key long, th binary, n long"), "anchors")
     again = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
     cold, many = F.col("total") <= hot, F.col("total") > hot

@@ -128,9 +128,12 @@ def test_links_reach_what_brute_force_reaches(spark, monkeypatch):
     sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
     want = [(i, j) for i in range(len(texts)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
     plain = spark.createDataFrame([(t.encode(), i, t) for i, t in enumerate(texts)], "th binary, place long, _text string")
-    for sample in (10_000, 30):
+    for sample, meetings in ((10_000, 1000), (30, 0)):
         monkeypatch.setattr(simhash, "SAMPLE_TEXTS", sample)
-        got = [(texts.index(bytes(r.u).decode()), texts.index(bytes(r.v).decode())) for r in simhash.similar_links(plain, 5, 0.8)[1].collect()]
+        monkeypatch.setattr(simhash, "MEETINGS", meetings)
+        nodes, links = simhash.similar_links(plain, 5, 0.8)
+        at = {r.node: r.place for r in nodes.collect()}
+        got = [(at[r.u], at[r.v]) for r in links.collect()]
         assert {frozenset(e) for e in got} <= {frozenset(e) for e in want} and len(want) > 30
         assert union_find(len(texts), got) == union_find(len(texts), want)
 
