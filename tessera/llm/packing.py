@@ -113,14 +113,25 @@ class Stream:
         self.size += len(ids)
 
     def settle(self, last: bool) -> Iterator[tuple]:
-        if not self.size:
-            return
+        """Settles stretch by stretch until less than one is left, or all if no more will come."""
+        while self.size >= _STRETCH or last and self.size:
+            yield from self._stretch(last and self.size <= 2 * _STRETCH, 2 * _STRETCH)
+
+    def _stretch(self, last: bool, most: int) -> Iterator[tuple]:
         base, ends, stops = 0, [], []
         for _, ids, sentences, placed in self.docs:
-            stops.append(sentences[sentences > placed] - placed + base)
-            base += len(ids) - placed
-            ends.append(base)
-        at, cost = boundaries(np.concatenate(stops), np.array(ends))
+            n = min(len(ids) - placed, most - base)
+            lo, hi = np.searchsorted(sentences, (placed, placed + n), "right")
+            stops.append(sentences[lo:hi] - placed + base)
+            base += n
+            if placed + n == len(ids):
+                ends.append(base)
+            if base == most:
+                break
+        soft = np.concatenate(stops)
+        at, cost = boundaries(np.append(soft, base), np.array(ends, np.int64))
+        if base not in ends[-1:] and base not in soft[-1:]:
+            cost[-1] = HARD_CUT
         here = 0
         for end in cuts(at, cost, self.length, last):
             offset = 0
@@ -139,7 +150,7 @@ class Stream:
 
 
 def pack(
-    docs: DataFrame, tokenizer: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
+    docs: DataFrame, tokenizer: tuple, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
     end_id: int = 1, keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per piece: the id (or the columns `keep`), start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -147,7 +158,8 @@ def pack(
     Every document's ids and one end id lie in order in consecutive windows; each id in
     exactly one piece. Window numbers are unique in the table: the input split's number
     and a count within it. Null and empty texts are the end id alone; repeated ids and
-    rows are documents of their own; an empty table gives no rows.
+    rows are documents of their own; an empty table gives no rows. A long document is cut
+    into windows stretch by stretch. Other columns are ignored.
     """
     keep = keep or [id_col]
     rows = docs.select(*[col(c) for c in keep], text_of(col(text_col)).alias("_packed"))

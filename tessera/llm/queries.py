@@ -18,7 +18,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken"), length=2048, end_id=1)
+    return packing.pack(table(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"), length=2048, end_id=1)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

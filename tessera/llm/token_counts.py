@@ -19,11 +19,11 @@ from . import files
 from .common import shared_dir, stored, text_of
 from .tokens import encoder
 
-#: Bytes of a block.
-BLOCK = 4 << 20
+#: Bytes of a block, and blocks that one task searches where there are many.
+BLOCK, BLOCKS_A_TASK = 4 << 20, 16
 
 
-def write_flat(docs: DataFrame, tokenizer: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def write_flat(docs: DataFrame, tokenizer: tuple, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Write one flat file of little-endian 16-bit ids per input split to a new shared folder.
 
     Returns the folder and (file, ordinal, id): which document stands where. A task that
@@ -83,8 +83,10 @@ def scan_flat(names: DataFrame, folder: str, end_id: int, block: int = BLOCK) ->
 
     if block % 2:
         raise ValueError("blocks hold whole ids")
-    blocks = names.select("file").distinct().mapInArrow(split, "file string, block long, lo long, hi long")
-    found = stored(blocks.repartition("file", "block").mapInArrow(search, "file string, block long, n long, last long, hi long, ends array<long>"), "separators")
+    blocks = stored(names.select("file").distinct().mapInArrow(split, "file string, block long, lo long, hi long"), "blocks")
+    n = blocks.count()
+    tasks = max(1, min(n, max(blocks.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCKS_A_TASK))))  # a number of its own, as adaptive execution would merge these few rows
+    found = stored(blocks.repartitionByRange(tasks, "file", "block").mapInArrow(search, "file string, block long, n long, last long, hi long, ends array<long>"), "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("previous"))
     stitched = found.join(carried, ["file", "block"])
@@ -95,7 +97,7 @@ def scan_flat(names: DataFrame, folder: str, end_id: int, block: int = BLOCK) ->
     return closed.unionByName(rest.where("n_tokens > 0"))
 
 
-def token_counts(docs: DataFrame, tokenizer: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: tuple, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_tokens) per row, by writing flat files and scanning them.
 
     Null and empty texts have 0 tokens; repeated ids and rows are documents of their
