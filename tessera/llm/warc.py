@@ -2,9 +2,11 @@
 
 Captures are written as gzip-compressed WARC/1.1 records, one archive per task, with
 equal payloads stored once and referred to by revisit records. Archives are then read
-back record by record; each gives a run of index entries, sorted on its own by URL
-key and time and written out. Range partitions of the runs are merged by a loser
-tree, so that the index as a whole is the captures' history in order.
+back record by record, a task each; each gives a run of index entries, sorted on its own
+by URL key and time and written as a file of blocks. A merge task has a range of keys: it
+opens each run at the range's first block and streams the blocks through a loser tree, so
+that it holds one block of each run. Where there are more runs than it may open, groups of
+them are merged into longer ones first. The ranges in their order are the captures' history.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import col
 from . import files
-from .common import shared_dir, stored
+from .common import shared_dir, stored, text_of
 
 #: Payloads of at least so many bytes are stored once.
 LEAST_SHARED = 1000
@@ -31,6 +34,8 @@ ARCHIVE = 1 << 30
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
+#: Entries of a run's block; runs that one task merges; entries of a range, as a target; blocks that ranges are cut from.
+BLOCK_ROWS, FAN_IN, RANGE_ROWS, SAMPLE_BLOCKS = 1 << 11, 64, 1 << 17, 100_000
 
 
 def url_key(url: str | None) -> str:
@@ -44,17 +49,27 @@ def url_key(url: str | None) -> str:
     return ",".join(labels) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def record(page_id: int | None, url: str | None, at: str, digest: str, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit (refers_to given) keeps the HTTP header with the payload's length, and no payload."""
+def capture_time(page_id: int | None) -> str:
+    return (_EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{capture_time(page_id)}|{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: tuple[int, str | None] | None) -> bytes:
+    """One WARC record; a revisit keeps the HTTP header with the payload's length, and no payload.
+
+    refers_to: page id and URL of the response that a revisit refers to by its record id.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{at}|{digest}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{name}>",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Target-URI: {quote(url or '', safe=_URL_SAFE)}",
-        f"WARC-Date: {at}",
+        f"WARC-Date: {capture_time(page_id)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -62,7 +77,14 @@ def record(page_id: int | None, url: str | None, at: str, digest: str, payload:
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        page, target = refers_to
+        head += [
+            f"WARC-Profile: {_PROFILE}",
+            f"WARC-Refers-To: {record_id(page, target, digest)}",
+            f"WARC-Refers-To-Target-URI: {quote(target or '', safe=_URL_SAFE)}",
+            f"WARC-Refers-To-Date: {capture_time(page)}",
+            f"X-Refers-To-Page-ID: {page}",
+        ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -133,14 +155,15 @@ class LoserTree:
 
 
 def _with_roles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col("url"), payload.alias("payload"))
+    payload = text_of(col(html_col)).cast("binary")
+    rows = pages.select(col(id_col).alias("page_id"), F.col("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= LEAST_SHARED
-    shared = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    shared = rows.where(large).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     rows = rows.join(stored(shared, "shared-payloads"), "digest", "left")
-    revisit = large & (F.col("page_id") < F.col("first"))
-    return rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
+    revisit = large & (F.col("page_id") < F.col("first.page_id"))
+    first = lambda c: F.when(revisit, F.col(f"first.{c}"))
+    return rows.select("page_id", "url", "payload", "digest", first("page_id").alias("refers_to"), first("url").alias("refers_to_url"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> tuple[str, DataFrame]:
@@ -157,15 +180,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
         task = TaskContext.get()
         sink, count, done = None, 0, []
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, digest, refers_to, target in zip(*(c.to_pylist() for c in batch.columns)):
                 if sink is None or sink.tell() >= ARCHIVE:
                     if sink:
                         sink.close()
                     done.append(f"captures-{task.partitionId()}-{task.taskAttemptId()}-{count}.warc.gz")
                     sink, count = files.create(folder, done[-1]), count + 1
-                at = (_EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
                 squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-                sink.write(squeeze.compress(record(page_id, url, at, digest, payload, refers_to)) + squeeze.flush())
+                sink.write(squeeze.compress(record(page_id, url, digest, payload, None if refers_to is None else (refers_to, target))) + squeeze.flush())
         if sink:
             sink.close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["archive"])
@@ -195,8 +217,11 @@ def _batches(entries: Iterable[tuple], size: int = 1 << 14):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), _ENTRY)], schema=_ENTRY)
 
 
+_KEYS = ("url_key", "capture_time", "page_id", "archive", "offset")
+
+
 def read_runs(archives: DataFrame, folder: str) -> DataFrame:
-    """Index entries of each archive, a sorted run per archive, read from its records in order.
+    """Index entries of each archive, read from its records in order and sorted on their own, a task for each archive.
 
     A response's payload is hashed again and must have the digest and length its
     headers state; a revisit's are those of the payload it refers to.
@@ -205,41 +230,130 @@ def read_runs(archives: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                entries = []
                 with files.reader(folder, name) as source:
-                    for offset, length, content in members(source, files.size(folder, name)):
-                        fields, stated, payload = parse(content)
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        if fields["warc-type"] == "response" and (len(payload) != stated or hashlib.sha1(payload).hexdigest() != digest):
-                            raise ValueError(f"{name}: the record at {offset} does not hold what it states")
-                        refers = fields.get("warc-refers-to")
-                        page = fields.get("x-page-id")
-                        entries.append((
-                            url_key(fields["warc-target-uri"]), fields["warc-date"].translate({ord(c): None for c in "-:TZ"}), None if page is None else int(page),
-                            stated, digest, fields["warc-type"], int(refers[len("<urn:page:") : -1]) if refers else None, name, offset, length,
-                        ))
-                yield from _batches(sorted(entries, key=_order))
-
-    return archives.repartition("archive").mapInArrow(run, _ENTRY_SQL)
-
-
-def merge_index(runs: DataFrame) -> DataFrame:
-    """All entries in order of URL key, time and page: range partitions, each a loser-tree merge of its runs' parts.
-
-    The ranges are cut from a sample of the whole sort key, so captures of one URL are
-    split by time however many there are.
-    """
+                    yield from _batches(entries(name, source))
+
+    def entries(name, source):
+        for offset, length, content in members(source, files.size(folder, name)):
+            fields, stated, payload = parse(content)
+            digest = fields["warc-payload-digest"].removeprefix("sha1:")
+            if fields["warc-type"] == "response" and (len(payload) != stated or hashlib.sha1(payload).hexdigest() != digest):
+                raise ValueError(f"{name}: the record at {offset} does not hold what it states")
+            page, refers = (fields.get(f"x-{x}page-id") for x in ("", "refers-to-"))
+            yield (
+                url_key(fields["warc-target-uri"]), fields["warc-date"].translate({ord(c): None for c in "-:TZ"}), None if page is None else int(page),
+                stated, digest, fields["warc-type"], None if refers is None else int(refers), name, offset, length,
+            )
+
+    tasks = max(1, archives.count())  # a number of its own, as adaptive execution would merge these few rows
+    return archives.repartitionByRange(tasks, "archive").mapInArrow(run, _ENTRY_SQL).sortWithinPartitions(*_KEYS)
+
+
+def _write_blocks(folder: str, name: str, entries: Iterable[tuple]):
+    """A run as a file of blocks; (rows, first entry's key) of each."""
+    with files.create(folder, name) as sink, pa.ipc.new_file(sink, _ENTRY) as out:
+        for batch in _batches(entries, BLOCK_ROWS):
+            out.write_batch(batch)
+            yield len(batch), [batch.column(_ENTRY.get_field_index(k))[0].as_py() for k in _KEYS]
+
+
+_BLOCK_SQL = "file string, rows long, url_key string, capture_time string, page_id long, archive string, offset long"
+
+
+def write_runs(entries: DataFrame, folder: str) -> DataFrame:
+    """Write each partition of sorted entries as a run; the blocks: (file, rows, first key)."""
 
     def run(batches):
-        parts: dict[str, list[tuple]] = {}
+        task = TaskContext.get()
+        name = f"run-{task.partitionId()}-{task.taskAttemptId()}.arrow"
+        found = [(name, n, *key) for n, key in _write_blocks(folder, name, (e for b in batches for e in zip(*(c.to_pylist() for c in b.columns))))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _BLOCK_TYPES)], names=["file", "rows", *_KEYS])
+
+    return stored(entries.mapInArrow(run, _BLOCK_SQL), "index-runs")
+
+
+_BLOCK_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
+def _sort_key(key) -> tuple:
+    url, at, page, archive, offset = key
+    return url, at, page is not None, page or 0, archive, offset
+
+
+def _from(folder: str, name: str, low: tuple | None, high: tuple | None):
+    """A run's entries from key `low` to before `high`; one block is held at a time."""
+    with files.reader(folder, name) as source:
+        blocks = pa.ipc.open_file(source)
+        at, end = 0, blocks.num_record_batches
+        if low is not None:  # the last block that begins at or before it
+            lo, hi = 0, end
+            while lo < hi:
+                mid = (lo + hi) // 2
+                first = blocks.get_batch(mid).slice(0, 1)
+                if _order(tuple(c[0].as_py() for c in first.columns)) <= low:
+                    lo = mid + 1
+                else:
+                    hi = mid
+            at = max(lo - 1, 0)
+        for i in range(at, end):
+            for entry in zip(*(c.to_pylist() for c in blocks.get_batch(i).columns)):
+                key = _order(entry)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield entry
+
+
+def ranges(blocks: DataFrame) -> list[tuple[tuple | None, tuple | None]]:
+    """Ranges of keys with about as many entries each, cut from a bounded sample of the blocks' first keys."""
+    spark, total = blocks.sparkSession, blocks.agg(F.count("*"), F.sum("rows")).first()
+    n = max(1, -(-(total[1] or 0) // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, total[0] or 0))
+    some = blocks if total[0] <= SAMPLE_BLOCKS else blocks.where(F.pmod(F.xxhash64(*_KEYS), F.lit(total[0] // SAMPLE_BLOCKS + 1)) == 0)
+    keys = sorted({_sort_key(r) for r in some.select(*_KEYS).collect()})
+    cuts = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+    return list(zip([None, *cuts], [*cuts, None]))
+
+
+def merge_index(blocks: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
+    """All entries in order of URL key, time and page: ranges of keys, each a loser-tree merge of its runs.
+
+    Ranges are cut by the whole sort key, so captures of one URL are split by time however
+    many there are. A task opens at most `fan_in` runs; more are merged in passes, by
+    range and group, into runs of a range.
+    """
+    spark, parts = blocks.sparkSession, ranges(blocks)
+    names = [r.file for r in blocks.select("file").distinct().orderBy("file").collect()]
+    runs = {i: names for i in range(len(parts))}
+    schema = "range int, part int, files array<string>"
+
+    def tasks(jobs):
+        return spark.createDataFrame([(r, g, f) for r, g, f in jobs], schema).repartitionByRange(max(1, len(jobs)), "range", "part")
+
+    def merged(range_id: int, held: list[str]):
+        return iter(LoserTree([_from(folder, f, *parts[range_id]) for f in held], _order))
+
+    def longer(batches):
+        task = TaskContext.get()
+        for batch in batches:
+            for r, g, held in zip(*(c.to_pylist() for c in batch.columns)):
+                name = f"merged-{r}-{g}-{task.taskAttemptId()}.arrow"
+                for _ in _write_blocks(folder, name, merged(r, held)):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([name])], names=["range", "file"])
+
+    def last(batches):
         for batch in batches:
-            for entry in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.setdefault(entry[7], []).append(entry)
-        for part in parts.values():  # blocks of a run may arrive in any order; in order this is one pass
-            part.sort(key=_order)
-        yield from _batches(LoserTree(parts.values(), _order))
+            for r, _, held in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches(merged(r, held))
 
-    return runs.repartitionByRange("url_key", "capture_time", "page_id", "archive", "offset").mapInArrow(run, _ENTRY_SQL)
+    while max(map(len, runs.values()), default=0) > fan_in:
+        jobs = [(r, g // fan_in, held[g : g + fan_in]) for r, held in runs.items() for g in range(0, len(held), fan_in)]
+        done = stored(tasks(jobs).mapInArrow(longer, "range int, file string"), "merged-runs")
+        runs = {r: [] for r in runs}
+        for row in done.orderBy("range", "file").collect():
+            runs[row["range"]].append(row["file"])
+    return tasks([(r, 0, held) for r, held in runs.items()]).mapInArrow(last, _ENTRY_SQL)
 
 
 def capture_history(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -249,7 +363,7 @@ def capture_history(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     table gives no entries; other columns are ignored.
     """
     folder, archives = write_archives(pages, id_col, html_col)
-    return merge_index(stored(read_runs(archives, folder), "index-runs"))
+    return merge_index(write_runs(read_runs(archives, folder), folder), folder)
 
 
 ORACLE_SQL = """

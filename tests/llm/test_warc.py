@@ -61,11 +61,39 @@ def test_history_equals_brute_force(spark):
     assert warc.capture_history(df.limit(0)).count() == 0
 
 
+def test_a_task_for_each_archive_and_merges_of_any_width(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, f"http://{rng.choice('ab')}.com/{rng.randrange(40)}", "x" * rng.randrange(30)) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    folder, archives = warc.write_archives(df)
+    entries = warc.read_runs(archives, folder)
+    assert archives.count() == 7 == entries.rdd.getNumPartitions() and all(n > 0 for n in entries.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())
+    blocks = warc.write_runs(entries, folder)
+    want = sorted((tuple(r) for r in entries.collect()), key=warc._order)
+    for fan_in, sample in ((64, 100_000), (2, 3)):
+        monkeypatch.setattr(warc, "RANGE_ROWS", 100)
+        monkeypatch.setattr(warc, "SAMPLE_BLOCKS", sample)
+        assert [tuple(r) for r in warc.merge_index(blocks, folder, fan_in).collect()] == want
+    low, high = warc._order(want[300]), warc._order(want[600])
+    files_ = [r.file for r in blocks.select("file").distinct().collect()]
+    assert sorted((e for f in files_ for e in warc._from(folder, f, low, high)), key=warc._order) == want[300:600]
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", "é" * 600), (2, "http://a.b/y", "é" * 600)], "page_id long, url string, html string").coalesce(1)
+    folder, archives = warc.write_archives(pages)
+    name = archives.first()[0]
+    with files.reader(folder, name) as source:
+        heads = [warc.parse(c)[0] for _, _, c in warc.members(source, files.size(folder, name))]
+    by_type = {h["warc-type"]: h for h in heads}
+    assert by_type["revisit"]["warc-refers-to"] == by_type["response"]["warc-record-id"] and by_type["revisit"]["warc-refers-to-target-uri"] == "http://a.b/y"
+
+
 def test_a_damaged_archive_is_noticed(spark, tmp_path):
     import zlib
 
     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-    record = warc.record(1, "http://a", "2024-01-01T00:00:00Z", "0" * 40, b"body", None)
+    record = warc.record(1, "http://a", "0" * 40, b"body", None)
     (tmp_path / "bad.warc.gz").write_bytes(squeeze.compress(record) + squeeze.flush())
     with pytest.raises(Exception, match="does not hold what it states"):
         warc.read_runs(spark.createDataFrame([("bad.warc.gz",)], "archive string"), f"file://{tmp_path}").collect()
