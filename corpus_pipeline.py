@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens; a null or empty text is its end id alone."""
-    return packing.pack(docs, public("byte_bpe_50k.tiktoken"), length=2048, end_id=1)
+    return packing.pack(docs, public("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"), length=2048, end_id=1)
 
 
 STAGES = [
