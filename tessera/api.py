@@ -108,7 +108,7 @@ def plan_forced(entry: Entry, preset: Preset) -> Plan:
 
 
 def assemble_source(spark: SparkSession, source: Source, settings: Settings, entity: str | None, linked: str | None, fingerprint: str) -> DataFrame:
-    table = readers.read_table(spark, source.entry, source.selector)
+    table = readers.read_table(spark, source.entry, source.selector, settings.staging, source.preset.tier)
     run = Run(
         entity=entity, linked_entity=linked, local_zone=settings.local_zone, input_file_path=source.entry.disk_path, logical_path=source.entry.logical_path,
         fingerprint=fingerprint, passthrough=settings.source_columns, prefix=settings.source_column_prefix,

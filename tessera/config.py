@@ -18,12 +18,13 @@ class Settings:
     source_column_prefix: str = "orig_"
     split: bool = False
     rank_resolution_us: int = 1_000_000
+    staging: str = "always"
 
 
 _TABLES = {
     "timezone": {"local_zone": "local_zone"},
     "logging": {"level": "log_level", "file": "log_file"},
-    "discovery": {"archive_depth": "archive_depth", "root_prefix_depth": "root_prefix_depth"},
+    "discovery": {"archive_depth": "archive_depth", "root_prefix_depth": "root_prefix_depth", "staging": "staging"},
     "output": {"source_columns": "source_columns", "source_column_prefix": "source_column_prefix", "split": "split", "rank_resolution_us": "rank_resolution_us"},
 }
 
@@ -58,4 +59,6 @@ def load_settings(path: str | Path | None = None, **given) -> Settings:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
     out = replace(out, **{k: v for k, v in given.items() if v is not None})
     check_zone(out.local_zone)
+    if out.staging not in ("always", "never", "tier"):
+        raise ValueError(f"staging {out.staging!r}: expected always, never or tier")
     return out

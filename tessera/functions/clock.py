@@ -87,8 +87,17 @@ def strptime_us(value: Column, fmt: str) -> tuple[Column, Column]:
 
 
 def iso_us(value: Column) -> tuple[Column, Column]:
-    """(wall-clock microseconds, offset hours or null) of ISO-8601 text; other text is null."""
+    """(wall-clock microseconds, offset hours or null) of ISO-8601 text; other text is null.
+
+    The basic form without separators, decimal commas, and dates that end at the month or
+    year are read too.
+    """
     text = F.trim(value.cast("string"))
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(\d{2})?(?=$|[.,Zz+-])", "$1:$2:0$3")
+    text = F.regexp_replace(F.regexp_replace(text, r"^(.{16}):0(\d{2})(?!\d)", "$1:$2"), r"^(.{16}):0(?!\d)", "$1:00")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}),(\d)", "$1.$2")
+    text = F.regexp_replace(F.regexp_replace(text, r"^(\d{4})$", "$1-01"), r"^(\d{4}-\d{2})$", "$1-01")
     timed = F.rlike(text, F.lit(_TIMED_OFFSET)) & ~F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
     suffix = F.when(timed, F.regexp_extract(text, _OFFSET, 1))
     body = F.when(timed, F.regexp_replace(text, _OFFSET, "")).otherwise(text)
@@ -117,6 +126,16 @@ def zone_is_local(token: Column) -> Column:
     return F.coalesce(F.rlike(token.cast("string"), F.lit(r"(?i)\[dst\]|^\s*local\s*$")), F.lit(False))
 
 
+def standard_offset(zone: str) -> float:
+    """Hours that a zone is ahead of UTC when its summer time is off (in January or July of 2025)."""
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    probes = [datetime(2025, month, 15, tzinfo=ZoneInfo(zone)) for month in (1, 7)]
+    plain = [p for p in probes if not p.dst()] or probes
+    return plain[0].utcoffset() / timedelta(hours=1)
+
+
 def local_to_utc_us(wall_us: Column, zone: str | Column) -> Column:
     """The instant of a wall clock in an IANA zone: the earlier of two, and past a gap by the offset before it."""
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall_us), zone))

@@ -159,6 +159,9 @@ class Compiler:
                 anomaly = clock.wall_clock_anomaly(wall, F.lit(self.run.local_zone))
                 note = F.struct(F.lit("time").alias("field"), F.concat(F.lit("clock "), anomaly).alias("step"), value.cast("string").alias("value"))
                 self.warnings.append(F.when(found.isNull() & local & anomaly.isNotNull(), note))
+                standard = F.lit(clock.standard_offset(self.run.local_zone))
+                note = F.struct(F.lit("time").alias("field"), F.lit("base offset is not the local zone's").alias("step"), zone.alias("value"))
+                self.warnings.append(F.when(found.isNull() & local & base.isNotNull() & (F.abs(base - standard) > 1e-9), note))
             else:
                 naive = fixed
                 note = F.struct(F.lit("time").alias("field"), F.lit("local zone not set").alias("step"), value.cast("string").alias("value"))

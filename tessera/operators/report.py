@@ -20,12 +20,11 @@ RECORD = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("parent_id", T.StringType()), T.StructField("parent_type", T.StringType()),
     T.StructField("deleted_state", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
 ])
-ENTRY = "seq long, id string, path string, name string, table_name string, offset string, size string"
 SOURCE_COLUMNS = ["path", "name", "table_name", "offset", "size"]
 LEVELS = 3
 
 
-def records(entry: Entry, wanted: str | None = None):
+def records(models):
     """Models depth first, three levels deep, with their own fields."""
     seq = 0
 
@@ -41,22 +40,22 @@ def records(entry: Entry, wanted: str | None = None):
                         if inner.tag.rpartition("}")[2] == "model":
                             yield from walk(inner, level + 1, top, model.get("id"), kind)
 
-    for model in readers.report_models(entry, wanted):
+    for model in models:
         yield from walk(model, 0, model.get("type"), None, None)
 
 
 def model_types(entry: Entry) -> list[str]:
-    """Types of top-level models, in order of first appearance."""
-    return list(dict.fromkeys(m.get("type") for m in readers.report_models(entry)))
+    """Types of top-level models, in order of first appearance, by the index of blocks."""
+    return list(dict.fromkeys(kind for kind, _, _ in readers.block_index(entry)[1] if kind))
 
 
-class _Type(InputPartition):
-    def __init__(self, number: int, name: str | None):
-        self.number, self.name = number, name
+class _Block(InputPartition):
+    def __init__(self, number: int, first: int, end: int | None):
+        self.number, self.first, self.end = number, first, end
 
 
 class ReportRecords(DataSource):
-    """Format `tessera_report`: a report's models, a partition for each top-level type."""
+    """Format `tessera_report`: a report's models, a partition for each block of them; what lies between is not parsed."""
 
     @classmethod
     def name(cls):
@@ -74,32 +73,30 @@ class _ReportReader(DataSourceReader):
         import base64
         import pickle
 
-        self.entry, self.types = pickle.loads(base64.b64decode(options["plan"]))  # noqa: S301  made by read_report
+        self.entry, self.head, self.blocks = pickle.loads(base64.b64decode(options["plan"]))  # noqa: S301  made by read_report
 
     def partitions(self):
-        return [_Type(i, t) for i, t in enumerate(self.types)]
+        return [_Block(i, first, end) for i, (_, first, end) in enumerate(self.blocks)]
 
     def read(self, partition):
-        for seq, *rest in records(self.entry, partition.name):
+        models = readers.block_models(self.entry, self.head, partition.first, partition.end) if self.head else readers.report_models(self.entry)
+        for seq, *rest in records(models):
             yield (partition.number << 40 | seq, *rest)
 
 
 def read_report(spark: SparkSession, entry: Entry, types: list[str] | None = None) -> DataFrame:
-    """All models, or those of the given top-level types with everything below them; types are parsed side by side."""
+    """All models, or those of the given top-level types with everything below them; blocks are parsed side by side."""
     import base64
     import pickle
 
     spark.dataSource.register(ReportRecords)
-    there = model_types(entry)
-    wanted = [t for t in there if types is None or t in types]
-    plan = base64.b64encode(pickle.dumps((entry, wanted))).decode()
-    rows = spark.read.format("tessera_report").option("plan", plan).load()
-    return rows if types is None else of_types(rows, wanted)
+    head, blocks, _ = readers.block_index(entry)
+    plan = (entry, head, [b for b in blocks if types is None or b[0] is None or b[0] in types]) if blocks else (entry, b"", [(None, 0, None)])
+    rows = spark.read.format("tessera_report").option("plan", base64.b64encode(pickle.dumps(plan)).decode()).load()
+    return rows if types is None else of_types(rows, types)
 
 
-def read_sources(spark: SparkSession, entry: Entry) -> DataFrame:
-    rows = [(i, *e) for i, e in enumerate(readers.source_entries(entry))]
-    return spark.createDataFrame(rows, ENTRY)
+read_sources = readers.read_sources
 
 
 def open_report(path: str | Path) -> Entry:

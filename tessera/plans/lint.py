@@ -11,7 +11,7 @@ from pathlib import Path
 from .match import UUID
 from .preset import Preset, PresetError, load_preset
 
-#: Record counters that are no stable ids.
+#: Names of record counters that are no stable ids.
 COUNTERS = {"rowid", "_rowid_", "oid", "id", "z_pk", "_id", "pk"}
 ERROR, WARNING, ADVICE = "error", "warning", "advice"
 

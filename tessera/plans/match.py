@@ -18,20 +18,20 @@ def _segments(path: str) -> list[str]:
 
 
 def check_path(path: str) -> None:
-    """A selector's path: whole segments, `*` for one of them, `{uuid}` within one; `**` is not allowed."""
+    """A selector's path: whole segments, of which `*` is any one and `{uuid}` one that is a UUID."""
     if not _segments(path):
         raise PresetError("an empty path selects nothing")
-    if any("**" in s for s in _segments(path)):
-        raise PresetError(f"{path}: ** is not allowed, * stands for one segment")
+    for segment in _segments(path):
+        if "**" in segment:
+            raise PresetError(f"{path}: ** is not allowed, * stands for one segment")
+        if segment != "{uuid}" and set("{}") & set(segment):
+            raise PresetError(f"{path}: {segment} is no placeholder, the only one is {{uuid}}")
 
 
 def path_pattern(path: str, root_prefix_depth: int = 1) -> str:
     """The pattern of a selector's path, with up to so many leading segments before it."""
     check_path(path)
-    parts = []
-    for segment in _segments(path):
-        pieces = re.split(r"(\*|\{uuid\})", segment)
-        parts.append("".join({"*": "[^/]*", "{uuid}": UUID}.get(p, re.escape(p)) for p in pieces))
+    parts = [{"*": "[^/]+", "{uuid}": UUID}.get(s, re.escape(s)) for s in _segments(path)]
     return rf"^/?(?:[^/]+/){{0,{root_prefix_depth}}}{'/'.join(parts)}$"
 
 

@@ -209,10 +209,10 @@ def fanout_two_assertions(spark, sf_dir):
     return rows.select("_line", "_ordinal", "entity", "horizontal_accuracy_m", "horizontal_speed_kmh", "time_lower_unix_utc_us", "time_upper_unix_utc_us", "entity_time_link", "time_lower_source_field", "utc_offset_hours")
 
 
-@query("""SELECT o_orderkey AS _line, 'ORDERS#' || o_orderkey AS input_record_id, '/data/orders.sqlite' AS raw_source_path, 'case/orders.sqlite' AS input_file_path, 'primary' AS source_tier, 'ORDERS' AS source_label, 'demo.queries' AS preset_id, 'Demo' AS preset_name FROM orders""")
+@query("""SELECT o_orderkey AS _line, _ordinal, 'ORDERS#' || o_orderkey AS input_record_id, '/data/orders.sqlite' AS raw_source_path, 'case/orders.sqlite' AS input_file_path, 'primary' AS source_tier, 'ORDERS' AS source_label, 'demo.queries' AS preset_id, 'Demo' AS preset_name FROM orders, (VALUES (0), (1)) t(_ordinal)""")
 def provenance_defaults(spark, sf_dir):
     rows = assemble(_order_rows(spark, sf_dir), _orders_preset(), Run(passthrough=False, exact_row_uid=False, input_file_path="case/orders.sqlite"))
-    return rows.where("_ordinal = 0").select("_line", "input_record_id", "raw_source_path", "input_file_path", "source_tier", "source_label", "preset_id", "preset_name")
+    return rows.select("_line", "_ordinal", "input_record_id", "raw_source_path", "input_file_path", "source_tier", "source_label", "preset_id", "preset_name")
 
 
 @query("""SELECT o_orderkey, epoch_us(min(l_shipdate))::BIGINT AS time_lower_unix_utc_us, epoch_us(max(l_shipdate))::BIGINT AS time_upper_unix_utc_us, 'first' AS time_lower_source_field, 'last' AS time_upper_source_field
@@ -292,12 +292,12 @@ def untangle_completeness(spark, sf_dir):
     return untangle(rows, resolution_us=3_600_000_000).select("_line", "entity", "record_rank", "record_type")
 
 
-@query("""WITH k AS (SELECT event_id, value, event_type, floor(epoch_us(ts) / 86400000000) AS g FROM events WHERE event_type IN ('click', 'view')),
+@query("""WITH k AS (SELECT event_id, value, event_type, floor(epoch_us(ts) / 86400000000) AS g FROM events),
 r AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY value NULLS LAST, event_id) AS r,
   count(*) OVER (PARTITION BY g, event_type) AS sn, row_number() OVER (PARTITION BY g, event_type ORDER BY value NULLS LAST, event_id) AS sr FROM k)
 SELECT event_id AS _line, CASE WHEN n > 1 THEN r END::INTEGER AS merged_rank, CASE WHEN sn > 1 THEN sr END::INTEGER AS split_rank FROM r""")
 def untangle_split_vs_merge(spark, sf_dir):
-    source = _event_rows(spark, sf_dir).where(F.col("event_type").isin("click", "view"))
+    source = _event_rows(spark, sf_dir)
     rows = assemble(source.withColumn("who", F.lit("all")), _event_preset("who"), Run(exact_row_uid=False))
     merged = untangle(rows, 86_400_000_000).select("_line", F.col("record_rank").alias("merged_rank"), *[c for c in rows.columns if c not in ("_line",)])
     return untangle(merged, 86_400_000_000, scope=["orig_event_type"]).select("_line", "merged_rank", F.col("record_rank").alias("split_rank"))
@@ -354,9 +354,10 @@ def first_wins(spark, sf_dir):
     return lookup.first_wins(o, "o_custkey", ["o_orderkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def anti_join(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    orders = _read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("custkey"))
+    return merge.difference(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")), orders, ["custkey"])
 
 
 # Aggregates and reports
@@ -368,10 +369,10 @@ def counts_by_preset(spark, sf_dir):
     return frontier.counts(rows, ["preset_name", "orig_event_type"])
 
 
-@query("SELECT count(*) AS rows, 0::BIGINT AS ranked FROM orders")
+@query("SELECT 2 * count(*) AS rows, 0::BIGINT AS ranked FROM orders")
 def row_counts(spark, sf_dir):
     rows = assemble(_order_rows(spark, sf_dir), _orders_preset(), Run(passthrough=False, exact_row_uid=False))
-    return frontier.counts(rows.where("_ordinal = 0"), [])
+    return frontier.counts(rows, [])
 
 
 @query("SELECT * FROM (VALUES ('l_comment', 'drift_missing'), ('l_partkey', 'known'), ('l_shipdate', 'known'), ('l_orderkey', 'mapped_absent_never')) t(column_name, state) WHERE state <> 'mapped_absent_never' UNION ALL SELECT * FROM (VALUES ('l_discount', 'new'), ('l_extendedprice', 'new'), ('l_linenumber', 'new'), ('l_linestatus', 'new'), ('l_orderkey', 'new'), ('l_quantity', 'new'), ('l_returnflag', 'new'), ('l_suppkey', 'new'), ('l_tax', 'new'), ('l_missing', 'mapped_absent'))")

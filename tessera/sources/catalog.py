@@ -162,7 +162,8 @@ def detect(entry: Entry) -> str | None:
         return "plist"
     if head.startswith(b"PK\x03\x04"):
         try:
-            names = zipfile.ZipFile(io.BytesIO(read_bytes(entry))).namelist()
+            with open_entry(entry) as stream:  # its directory only
+                names = zipfile.ZipFile(stream).namelist()
         except zipfile.BadZipFile:
             return "archive"
         return "excel" if "xl/workbook.xml" in names else "archive"

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.names import cols
+from ..operators.lookup import with_source
 from ..operators.merge import merge_views, recovery_state
 from ..plans.preset import PresetError, Selector
 from .catalog import Entry, detect, open_entry, read_bytes, siblings
@@ -78,7 +79,7 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 def sheet_names(entry: Entry) -> dict[str, str]:
     """Sheets of a workbook in order, with the parts that hold them."""
-    book = zipfile.ZipFile(io.BytesIO(read_bytes(entry)))
+    book = zipfile.ZipFile(open_entry(entry))
     targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     sheets = ET.fromstring(book.read("xl/workbook.xml")).find(f"{_SHEET}sheets")
     out = {}
@@ -92,7 +93,7 @@ def _sheet_rows(entry: Entry, sheet: str) -> Iterator[list[str | None]]:
     parts = sheet_names(entry)
     if sheet not in parts:
         raise ValueError(f"{entry.logical_path} has no sheet {sheet!r}")
-    book = zipfile.ZipFile(io.BytesIO(read_bytes(entry)))
+    book = zipfile.ZipFile(open_entry(entry))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ET.fromstring(book.read("xl/sharedStrings.xml"))]
@@ -171,10 +172,22 @@ def _select(selector: Selector) -> str:
     return check_sql(selector.sql) if selector.sql else f"SELECT * FROM {quoted(selector.table)}"
 
 
-def _sqlite_table(entry: Entry, selector: Selector, sidecars: bool) -> tuple[list[str], Callable[[], Iterator[list]]]:
+#: When a database on disk is copied before it is read: always, never, or if its preset is of the primary tier.
+STAGING = ("always", "never", "tier")
+
+
+def copied(staging: str, tier: str | None) -> bool:
+    if staging not in STAGING:
+        raise ValueError(f"staging {staging!r}: expected one of {', '.join(STAGING)}")
+    return staging == "always" or staging == "tier" and tier == "primary"
+
+
+def _sqlite_table(entry: Entry, selector: Selector, sidecars: bool, copy: bool = True) -> tuple[list[str], Callable[[], Iterator[list]]]:
+    in_place = not copy and not entry.chain and not sidecars  # a log is only read with a copy: reading it writes beside it
+
     def run(limit: int | None):
         with tempfile.TemporaryDirectory() as folder:
-            db = connect(_staged(entry, folder, sidecars), immutable=not sidecars)
+            db = connect(entry.disk_path if in_place else _staged(entry, folder, sidecars), immutable=not sidecars)
             try:
                 if selector.table and not db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (selector.table,)).fetchone():
                     raise ValueError(f"{entry.logical_path} has no table {selector.table!r}")
@@ -235,19 +248,14 @@ def _events(entry: Entry) -> Iterator[tuple[str, ET.Element]]:
 
 
 def report_models(entry: Entry, wanted: str | None = None) -> Iterator[ET.Element]:
-    """Top-level models of a report as they end, each freed after use."""
-    path: list[ET.Element] = []
-    for event, node in _events(entry):
-        if event == "start":
-            path.append(node)
-            continue
-        path.pop()
-        if _local(node.tag) == "model" and not any(_local(p.tag) == "model" for p in path):
-            if wanted is None or node.get("type") == wanted:
-                yield node
-            node.clear()
-            if path:
-                path[-1].remove(node)
+    """Top-level models of a report as they end, each freed after use; of one type, only its blocks are parsed."""
+    head, blocks, _ = block_index(entry)
+    if wanted is None or not blocks:
+        yield from _top_models(_events(entry), wanted)
+        return
+    for kind, first, end in blocks:
+        if kind is None or kind == wanted:
+            yield from _top_models(_stretch_events(entry, head, first, end), wanted)
 
 
 def model_fields(model: ET.Element) -> dict[str, str]:
@@ -273,9 +281,105 @@ def _inline(model: ET.Element, prefix: str = "") -> dict[str, str]:
     return out
 
 
+#: Columns of the place where a model was found, as the reader of reports adds them.
+SOURCE_COLUMNS = {"source_path": "path", "source_name": "name", "source_table": "table_name", "source_offset": "offset"}
+
+
+_MARK = re.compile(rb"<!\[CDATA\[|<!--|<modelType(?=[\s>])|</modelType\s*>|<extraInfos(?=[\s>/])")
+
+
+def block_index(entry: Entry) -> tuple[bytes, list[tuple[str | None, int, int]], int | None]:
+    """(the root's start tag, blocks of models as (type, first byte, end), first byte of the sources), by one scan for marks.
+
+    Nothing is parsed; marks within CDATA and comments do not count.
+    """
+    head, blocks, sources = b"", [], None
+    kept, base, until, start, kind = b"", 0, None, None, None
+    with open_entry(entry) as stream:
+        while True:
+            piece = stream.read(1 << 20)
+            kept += piece
+            at = 0
+            if not head and (root := re.search(rb"<[A-Za-z_][^>]*>", kept)):
+                head = root[0]
+            while True:
+                if until:
+                    end = kept.find(until, at)
+                    if end < 0:
+                        at = max(at, len(kept) - 8)
+                        break
+                    at, until = end + len(until), None
+                    continue
+                mark = _MARK.search(kept, at)
+                if not mark:
+                    at = max(at, len(kept) - 32)
+                    break
+                word = mark[0]
+                if word.startswith(b"<!"):
+                    at, until = mark.end(), b"]]>" if word == b"<![CDATA[" else b"-->"
+                    continue
+                if word == b"<modelType":
+                    close = kept.find(b">", mark.end())
+                    if close < 0:
+                        at = mark.start()
+                        break
+                    name = re.search(rb"""\stype\s*=\s*["']([^"']*)["']""", kept[mark.end() : close])
+                    start, kind, at = base + mark.start(), name[1].decode() if name else None, close + 1
+                    if kept[close - 1 : close] == b"/":
+                        start = None
+                    continue
+                if word.startswith(b"</modelType") and start is not None:
+                    blocks.append((kind, start, base + mark.end()))
+                    start = None
+                elif word == b"<extraInfos" and sources is None:
+                    sources = base + mark.start()
+                at = mark.end()
+            kept, base = kept[at:], base + at
+            if not piece:
+                return head, blocks, sources
+
+
+def _stretch_events(entry: Entry, head: bytes, first: int, end: int | None) -> Iterator[tuple[str, ET.Element]]:
+    """Events of a stretch of a document, under its root; what lies before it is passed over, not parsed."""
+    parser = ET.XMLPullParser(["start", "end"])
+    bad = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+    parser.feed(head)
+    with open_entry(entry) as stream:
+        stream.seek(first)
+        left = None if end is None else end - first
+        while left is None or left > 0:
+            piece = stream.read(1 << 20 if left is None else min(1 << 20, left))
+            if not piece:
+                break
+            left = None if left is None else left - len(piece)
+            parser.feed(bad.sub(b"", piece))
+            yield from parser.read_events()
+
+
+def _top_models(events: Iterator[tuple[str, ET.Element]], wanted: str | None) -> Iterator[ET.Element]:
+    path: list[ET.Element] = []
+    for event, node in events:
+        if event == "start":
+            path.append(node)
+            continue
+        path.pop()
+        if _local(node.tag) == "model" and not any(_local(p.tag) == "model" for p in path):
+            if wanted is None or node.get("type") == wanted:
+                yield node
+            node.clear()
+            if path:
+                path[-1].remove(node)
+
+
+def block_models(entry: Entry, head: bytes, first: int, end: int | None) -> Iterator[ET.Element]:
+    """Top-level models of one block."""
+    return _top_models(_stretch_events(entry, head, first, end), None)
+
+
 def source_entries(entry: Entry) -> Iterator[tuple[str, str | None, str | None, str | None, str | None, str | None]]:
-    """(model id, path, name, table, offset, size): where each model was found, in document order."""
-    for event, node in _events(entry):
+    """(model id, path, name, table, offset, size): where each model was found, in document order; the models before are not parsed."""
+    head, _, first = block_index(entry)
+    for event, node in _events(entry) if first is None else _tolerant(_stretch_events(entry, head, first, None)):
         if event == "end" and _local(node.tag) == "extraInfo":
             info = next((n for n in node.iter() if _local(n.tag) == "nodeInfo"), None)
             if info is not None:
@@ -283,6 +387,14 @@ def source_entries(entry: Entry) -> Iterator[tuple[str, str | None, str | None,
             node.clear()
 
 
+def _tolerant(events: Iterator) -> Iterator:
+    """Events up to the end of the document, whose last tags close what the stretch did not open."""
+    try:
+        yield from events
+    except ET.ParseError:
+        return
+
+
 def inline_report(entry: Entry, model: str) -> tuple[list[str], Callable[[], Iterator[list]]]:
     """One row per top-level model of a type: single submodels inline as Parent.Field, lists of submodels left out."""
     columns: dict[str, None] = {"uuid": None, "deleted_state": None, "decoding_confidence": None}
@@ -305,7 +417,10 @@ def _xml_table(entry: Entry, selector: Selector) -> tuple[list[str], Callable[[]
     namespace = namespace_of(entry)
     if namespace not in _DIALECTS:
         raise ValueError(f"{entry.logical_path}: no dialect for reports of {namespace}")
-    return _DIALECTS[namespace](entry, selector.model)
+    columns, rows = _DIALECTS[namespace](entry, selector.model)
+    if _DIALECTS[namespace] is inline_report:  # its sources are joined by read_table
+        columns = [*columns, *(c for c in SOURCE_COLUMNS if c not in columns)]
+    return columns, rows
 
 
 # The data source
@@ -323,9 +438,9 @@ def register_reader(kind: str):
     return add
 
 
-def table_of(entry: Entry, selector: Selector, sidecars: bool = False) -> tuple[list[str], Callable[[], Iterator[list]]]:
+def table_of(entry: Entry, selector: Selector, sidecars: bool = False, copy: bool = True) -> tuple[list[str], Callable[[], Iterator[list]]]:
     if selector.format == "sqlite":
-        return _sqlite_table(entry, selector, sidecars)
+        return _sqlite_table(entry, selector, sidecars, copy)
     if selector.format not in _FORMATS:
         raise PresetError(f"no reader for {selector.format}")
     return _FORMATS[selector.format](entry, selector)
@@ -365,14 +480,19 @@ class _FileReader(DataSourceReader):
         import base64
         import pickle
 
-        self.entries, self.selector, self.sidecars = pickle.loads(base64.b64decode(options["plan"]))  # noqa: S301  made by read_table
+        self.entries, self.selector, self.sidecars, self.copy, formats, dialects = pickle.loads(base64.b64decode(options["plan"]))  # noqa: S301  made by read_table
+        _FORMATS.update(formats)
+        _DIALECTS.update(dialects)
+        self.formats, self.dialects = formats, dialects
         self.columns = [f.name for f in schema.fields[2:]]
 
     def partitions(self):
         return [_Part(e, self.selector) for e in self.entries]
 
     def read(self, partition):
-        names, rows = table_of(partition.entry, partition.selector, self.sidecars)
+        _FORMATS.update(self.formats)
+        _DIALECTS.update(self.dialects)
+        names, rows = table_of(partition.entry, partition.selector, self.sidecars, self.copy)
         names = unique_names(names)
         at = [names.index(c) if c in names else None for c in self.columns]
         for line, row in enumerate(rows(), 1):
@@ -391,25 +511,74 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def _scan(spark: SparkSession, entries: list[Entry], selector: Selector, columns: list[str], sidecars: bool) -> DataFrame:
+def _own(registered: dict[str, Callable]) -> dict[str, Callable]:
+    """What callers have registered; it goes to executors with the plan."""
+    return {k: f for k, f in registered.items() if f.__module__ != __name__}
+
+
+def _scan(spark: SparkSession, entries: list[Entry], selector: Selector, columns: list[str], sidecars: bool, copy: bool = True) -> DataFrame:
     import base64
-    import pickle
+
+    from pyspark import cloudpickle as pickle
 
     spark.dataSource.register(FileTables)
     schema = T.StructType([T.StructField("_file", T.StringType()), T.StructField(LINE, T.LongType()), *[T.StructField(c, T.StringType()) for c in columns]])
-    plan = base64.b64encode(pickle.dumps((entries, selector, sidecars))).decode()
+    plan = base64.b64encode(pickle.dumps((entries, selector, sidecars, copy, _own(_FORMATS), _own(_DIALECTS)))).decode()
     return spark.read.format("tessera").schema(schema).option("plan", plan).load()
 
 
-def read_table(spark: SparkSession, entry: Entry, selector: Selector) -> DataFrame:
+class ReportSources(DataSource):
+    """Format `tessera_sources`: where a report's models were found, in document order, read by an executor."""
+
+    @classmethod
+    def name(cls):
+        return "tessera_sources"
+
+    def schema(self):
+        return "seq long, id string, path string, name string, table_name string, offset string, size string"
+
+    def reader(self, schema):
+        return _SourcesReader(self.options)
+
+
+class _SourcesReader(DataSourceReader):
+    def __init__(self, options):
+        import base64
+        import pickle
+
+        self.entry = pickle.loads(base64.b64decode(options["plan"]))  # noqa: S301  made by read_sources
+
+    def partitions(self):
+        return [InputPartition(0)]
+
+    def read(self, partition):
+        for i, row in enumerate(source_entries(self.entry)):
+            yield (i, *row)
+
+
+def read_sources(spark: SparkSession, entry: Entry) -> DataFrame:
+    import base64
+    import pickle
+
+    spark.dataSource.register(ReportSources)
+    return spark.read.format("tessera_sources").option("plan", base64.b64encode(pickle.dumps(entry)).decode()).load()
+
+
+def read_table(spark: SparkSession, entry: Entry, selector: Selector, staging: str = "always", tier: str | None = None) -> DataFrame:
     """One unit of one file: `_line`, the columns as text, and `_recovery` (live, wal, journal; null for other formats).
 
-    A database is read without and with its sidecar files; equal rows are one.
+    A database is read without and with its sidecar files; equal rows are one. Models of a
+    report get the columns of the first place where they were found.
     """
     columns = unique_names(table_of(entry, selector, sidecars=True)[0])
+    if selector.format == "xml" and _DIALECTS.get(namespace_of(entry)) is inline_report:
+        own = [c for c in columns if c not in SOURCE_COLUMNS]
+        rows = _scan(spark, [entry], selector, own, False).drop("_file")
+        found = read_sources(spark, entry).select("seq", "id", *[F.col(c).alias(n) for n, c in SOURCE_COLUMNS.items()])
+        return with_source(rows, found, "uuid", "id", ["seq"], [n for n in SOURCE_COLUMNS if n in columns]).withColumn("_recovery", F.lit(None).cast("string"))
     if selector.format != "sqlite":
         return _scan(spark, [entry], selector, columns, False).drop("_file").withColumn("_recovery", F.lit(None).cast("string"))
-    database = _scan(spark, [entry], selector, columns, False)
+    database = _scan(spark, [entry], selector, columns, False, copied(staging, tier))
     side = siblings(entry)
     label = "wal" if "-wal" in side else "journal" if "-journal" in side else "wal"
     whole = _scan(spark, [entry], selector, columns, True) if side else database
