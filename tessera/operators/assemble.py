@@ -1,8 +1,10 @@
 """Assertion assembly: the projection and fan-out that a preset compiles to.
 
 One scan of the source, one row of values, and one generator that turns each record
-into as many rows as the preset has assertions. References are resolved against the
-schema when the plan is made; nothing is looked up per row. Problems that a preset
+into as many rows as the preset has assertions. What several columns need (a time's text,
+wall clock and instant) is computed once, in projections below the generator, whose
+structs hold references only. References are resolved against the schema when the plan
+is made; nothing is looked up per row. Problems that a preset
 lets pass are collected per row in `_warnings`.
 """
 
@@ -59,6 +61,23 @@ class Compiler:
         self.types = {f.name: f.dataType for f in source.schema if f.name not in hidden}
         self.columns = list(self.types)
         self.warnings: list[Column] = []
+        self.layers: list[list[Column]] = []
+        self._bounds: dict = {}
+
+    def let(self, level: int, value: Column) -> Column:
+        """The value by a name, computed once in the projection of its level; it may refer to those of lower levels."""
+        while len(self.layers) <= level:
+            self.layers.append([])
+        name = f"_let_{level}_{len(self.layers[level])}"
+        while name in self.columns:
+            name += "_"
+        self.layers[level].append(value.alias(name))
+        return F.col(name)
+
+    def laid(self, source: DataFrame) -> DataFrame:
+        for layer in self.layers:
+            source = source.select("*", *layer)
+        return source
 
     def _source(self, name: str) -> Column:
         kind = self.types[name]
@@ -143,14 +162,21 @@ class Compiler:
 
     def _bound(self, ref: Ref, time: Time) -> tuple[Column, Column, Column, str | None]:
         """(raw text, instant, source offset or null, source column); the offset is NaN where a zone was assumed."""
+        key = (ref, time.epoch, time.format, time.zone)
+        if key not in self._bounds:
+            self._bounds[key] = self._make_bound(ref, time)
+        return self._bounds[key]
+
+    def _make_bound(self, ref: Ref, time: Time) -> tuple[Column, Column, Column, str | None]:
         value, _, name = self.ref(ref)
+        value = self.let(0, value)
         nothing = F.lit(None).cast("double")
         if time.epoch:
-            us, offset = clock.epoch_us(value, time.epoch), nothing
+            us, offset = self.let(1, clock.epoch_us(value, time.epoch)), nothing
         elif time.format:
-            wall, found = clock.iso_us(value) if time.format == "iso8601" else clock.strptime_us(value, time.format)
-            zone = self.value(time.zone, cast=False)[0].cast("string") if time.zone else F.lit(None).cast("string")
-            base = clock.zone_offset(zone)
+            wall, found = (self.let(1, c) for c in (clock.iso_us(value) if time.format == "iso8601" else clock.strptime_us(value, time.format)))
+            zone = self.let(0, self.value(time.zone, cast=False)[0].cast("string")) if time.zone else F.lit(None).cast("string")
+            base = self.let(1, clock.zone_offset(zone)) if time.zone else F.lit(None).cast("double")
             fixed = wall - (F.coalesce(base, F.lit(0.0)) * clock.HOUR_US).cast("long")
             assumed = F.coalesce(base, F.lit(float("nan")))
             if self.run.local_zone:
@@ -166,10 +192,10 @@ class Compiler:
                 naive = fixed
                 note = F.struct(F.lit("time").alias("field"), F.lit("local zone not set").alias("step"), value.cast("string").alias("value"))
                 self.warnings.append(F.when(found.isNull() & clock.zone_is_local(zone) & wall.isNotNull(), note))
-            us = F.when(found.isNotNull(), wall - (found * clock.HOUR_US).cast("long")).otherwise(naive)
+            us = self.let(2, F.when(found.isNotNull(), wall - (found * clock.HOUR_US).cast("long")).otherwise(naive))
             offset = F.when(us.isNotNull(), F.coalesce(found, assumed))
         else:
-            us, offset = clock.whole_us(value), nothing
+            us, offset = self.let(1, clock.whole_us(value)), nothing
         raw = value.cast("string")
         return F.when(value.isNotNull(), raw), us, offset, name
 
@@ -177,6 +203,7 @@ class Compiler:
         out = {f.column: self.value(f)[0] for f in time.overrides}
         low_raw, low, low_offset, low_name = self._bound(time.lower, time)
         high_raw, high, _, high_name = self._bound(time.upper, time) if time.upper != time.lower else (low_raw, low, None, low_name)
+        low_offset = self.let(3, low_offset)
         unknown = F.isnan(low_offset)
         known = low_offset
         if self.run.local_zone:
@@ -240,15 +267,17 @@ def assemble(source: DataFrame, preset: Preset, run: Run | None = None, selector
         if mapped is None
         else F.when(mapped.isNull(), F.raise_error(F.concat(F.lit("no record id at line "), F.col(line).cast("string"))).cast("string")).otherwise(mapped)
     )
-    names = [*OUTPUT_COLUMNS, OFFSET_STATE]
-    rows = []
-    for ordinal, a in enumerate(preset.assertions):
-        own = base | c.assertion(a)
-        columns = [own.get(n, F.lit(None)).cast(column_type(n) if n != OFFSET_STATE else "string").alias(n) for n in names]
-        rows.append(F.struct(F.lit(ordinal).alias("_ordinal"), *columns))
+    kind = lambda n: column_type(n) if n != OFFSET_STATE else T.StringType()
+    own = [c.assertion(a) for a in preset.assertions]
+    named = {f"_all_{n}": v.cast(kind(n)) for n, v in base.items() if not all(n in o for o in own)}
+    named |= {f"_own_{i}_{n}": v.cast(kind(n)) for i, o in enumerate(own) for n, v in o.items()}
+    nothing = {n: f"CAST(NULL AS {kind(n).simpleString()})" for n in (*OUTPUT_COLUMNS, OFFSET_STATE)}
+    part = lambda i, o, n: f"_own_{i}_{n}" if n in o else f"_all_{n}" if n in base else nothing[n]
+    rows = ", ".join(f"named_struct('_ordinal', {i}, {', '.join(f"'{n}', {part(i, o, n)}" for n in nothing)})" for i, o in enumerate(own))
     kept = _passthrough(c.columns, run.prefix) if run.passthrough else {}
     notes = F.filter(F.array(*c.warnings), lambda w: w.isNotNull()) if c.warnings else F.array().cast(_WARNING)
-    wide = source.select(F.col(line).alias("_line"), *[col(s).alias(t) for s, t in kept.items()], notes.alias(WARNINGS), F.inline(F.array(*rows)))
+    below = c.laid(source).select(F.col(line).alias("_line"), *[col(s).alias(t) for s, t in kept.items()], notes.alias(WARNINGS), *[v.alias(n) for n, v in named.items()])
+    wide = below.select("_line", *cols(list(kept.values())), WARNINGS, F.expr(f"inline(array({rows}))"))
     if run.exact_row_uid:
         uid = _row_uid(fingerprint)
     else:
