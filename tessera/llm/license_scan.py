@@ -64,6 +64,8 @@ nor the names of its contributors may be used to endorse or promote products der
 of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
 notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
 ]
+#: Words of every kind of text; they lead a template only if its other words cannot.
+COMMON = set("a all an and any are as at be by for from if in is it may not of on or such that the this to under was with you your".split())
 #: A word of a statement: letters and digits, with inner dots and hyphens.
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.8
@@ -82,7 +84,7 @@ def template_vectors(templates: list[tuple[str, str]], threshold: float):
         raw = {t: n * idf[t] for t, n in bag.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         left = 1.0
-        for term, w in sorted(raw.items(), key=lambda x: (-len(x[0]), x[0])):  # long words first: they are rare in texts
+        for term, w in sorted(raw.items(), key=lambda x: (x[0] in COMMON, -len(x[0]), x[0])):  # long words first: they are rare in texts
             rows.append((number, name, term, w / norm, left >= threshold * threshold))
             left -= (w / norm) ** 2
     return rows, idf, math.log(1 + len(bags)) + 1
