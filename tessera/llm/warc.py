@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from operator import itemgetter
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -133,7 +134,7 @@ class LoserTree:
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
-        return y is None or (x is not None and x[:2] < y[:2])
+        return y is None or (x is not None and x < y)  # the run's number settles ties before the items are asked
 
     def _play(self, i: int) -> None:
         at = (i + self.k) // 2
@@ -249,11 +250,11 @@ def read_runs(archives: DataFrame, folder: str) -> DataFrame:
     return archives.repartitionByRange(tasks, "archive").mapInArrow(run, _ENTRY_SQL).sortWithinPartitions(*_KEYS)
 
 
-def _write_blocks(folder: str, name: str, entries: Iterable[tuple]):
+def _write_blocks(folder: str, name: str, batches: Iterable[pa.RecordBatch]):
     """A run as a file of blocks; (rows, first entry's key) of each."""
     with files.create(folder, name) as sink, pa.ipc.new_file(sink, _ENTRY) as out:
-        for batch in _batches(entries, BLOCK_ROWS):
-            out.write_batch(batch)
+        for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, len(b), BLOCK_ROWS)):
+            out.write_batch(batch.cast(_ENTRY))
             yield len(batch), [batch.column(_ENTRY.get_field_index(k))[0].as_py() for k in _KEYS]
 
 
@@ -266,7 +267,7 @@ def write_runs(entries: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         task = TaskContext.get()
         name = f"run-{task.partitionId()}-{task.taskAttemptId()}.arrow"
-        found = [(name, n, *key) for n, key in _write_blocks(folder, name, (e for b in batches for e in zip(*(c.to_pylist() for c in b.columns))))]
+        found = [(name, n, *key) for n, key in _write_blocks(folder, name, batches)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _BLOCK_TYPES)], names=["file", "rows", *_KEYS])
 
@@ -282,7 +283,7 @@ def _sort_key(key) -> tuple:
 
 
 def _from(folder: str, name: str, low: tuple | None, high: tuple | None):
-    """A run's entries from key `low` to before `high`; one block is held at a time."""
+    """(key, entry) of a run from key `low` to before `high`; one block is held at a time."""
     with files.reader(folder, name) as source:
         blocks = pa.ipc.open_file(source)
         at, end = 0, blocks.num_record_batches
@@ -302,7 +303,7 @@ def _from(folder: str, name: str, low: tuple | None, high: tuple | None):
                 if high is not None and key >= high:
                     return
                 if low is None or key >= low:
-                    yield entry
+                    yield key, entry
 
 
 def ranges(blocks: DataFrame) -> list[tuple[tuple | None, tuple | None]]:
@@ -331,14 +332,14 @@ def merge_index(blocks: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFra
         return spark.createDataFrame([(r, g, f) for r, g, f in jobs], schema).repartitionByRange(max(1, len(jobs)), "range", "part")
 
     def merged(range_id: int, held: list[str]):
-        return iter(LoserTree([_from(folder, f, *parts[range_id]) for f in held], _order))
+        return (entry for _, entry in LoserTree([_from(folder, f, *parts[range_id]) for f in held], itemgetter(0)))
 
     def longer(batches):
         task = TaskContext.get()
         for batch in batches:
             for r, g, held in zip(*(c.to_pylist() for c in batch.columns)):
                 name = f"merged-{r}-{g}-{task.taskAttemptId()}.arrow"
-                for _ in _write_blocks(folder, name, merged(r, held)):
+                for _ in _write_blocks(folder, name, _batches(merged(r, held), BLOCK_ROWS)):
                     pass
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([name])], names=["range", "file"])
 
