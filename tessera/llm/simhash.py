@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col, cols
-from .common import free_name, stored, text_key, text_of
+from .common import free_name, stored, temporary_tables, text_key, text_of
 from .graph import components
 from .textscan import LOWER, mix, word_blocks, word_bounds, word_hashes
 
@@ -315,6 +315,23 @@ def _likely(meetings: DataFrame, similarity: float) -> DataFrame:
     return meetings.groupBy("u", "v", "size", "_size").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared - behind).select("u", "v")
 
 
+def _likely_places(meetings: DataFrame, similarity: float) -> DataFrame:
+    """`_likely` with the places (at, _at) of shared shingles, which come in one order in all prefixes.
+
+    Of the `shared` shingles at least that similar sets have in common, the i-th is
+    followed by shared - i in either set. So the first k that they share leave shared - k
+    at least behind, and k of them meet there: half of those that meet at all are asked for,
+    which leaves out meetings on the common shingles at the prefixes' ends.
+    """
+    t, slack = F.lit(similarity), F.lit(1e-9)
+    shared = F.ceil(t / (1 + t) * (F.col("size") + F.col("_size")) - slack)
+    need = shared - F.ceil(t * F.greatest("size", "_size") - slack) + 1
+    k = F.ceil(need / 2)
+    meetings = meetings.where(F.least("size", "_size") >= t * F.greatest("size", "_size") - slack)
+    meetings = meetings.where(F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= shared - k + 1)
+    return meetings.groupBy("u", "v", "size", "_size").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("u", "v")
+
+
 def _stars(entries: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs of each bucket's head with its other texts."""
     met = entries.join(heads, "shingle").where(F.col("node") != F.col("_head.node"))
@@ -366,7 +383,7 @@ def similar_links(plain: DataFrame, shingle: int, similarity: float, radius: int
     ball = same.unionByName(ball).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
     empty = F.when(F.size("prefix") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.col("prefix"))  # texts without words are alike
-    entries = marked.select("node", "size", F.explode(empty).alias("shingle"))
+    entries = marked.select("node", "size", F.posexplode(empty).alias("at", "shingle"))
     again = entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     entries = stored(entries.join(again, "shingle"), "shared-shingles")
     rank = entries.groupBy("node").agg((-F.sum("n") / F.greatest(F.max("size"), F.lit(1))).alias("rank"))
@@ -389,7 +406,7 @@ def similar_links(plain: DataFrame, shingle: int, similarity: float, radius: int
     verify(ball.unionByName(_stars(entries, entries.groupBy("shingle").agg(_first()), similarity)).distinct(), "pairs")
     for _ in range(ROUNDS):
         member = components(all_links()).select("node", F.col("root"))
-        labelled = entries.select("node", "size", "rank", "shingle").join(member, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = entries.select("node", "size", "rank", "at", "shingle").join(member, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         labelled = stored(labelled, "labelled")
         split = labelled.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("shingle")
         entries = stored(labelled.join(split, "shingle"), "split-buckets")
@@ -399,9 +416,9 @@ def similar_links(plain: DataFrame, shingle: int, similarity: float, radius: int
         top = entries.groupBy("shingle").agg(F.min(F.struct("rank", "node", "label")).alias("_top")).select("shingle", F.col("_top.label").alias("_label"))
         second = entries.join(top, "shingle").groupBy("shingle").agg(_first(F.col("label") != F.col("_label")))
         verify(_stars(entries, second, similarity), "pairs")
-    others = entries.select(F.col("node").alias("v"), F.col("size").alias("_size"), F.col("label").alias("_label"), "shingle")
+    others = entries.select(F.col("node").alias("v"), F.col("size").alias("_size"), F.col("at").alias("_at"), F.col("label").alias("_label"), "shingle")
     apart = entries.withColumnRenamed("node", "u").join(others, "shingle").where(F.col("u") < F.col("v")).where(F.col("label") != F.col("_label"))
-    verify(_likely(apart, similarity), "pairs")
+    verify(_likely_places(apart, similarity), "pairs")
     return texts, all_links()
 
 
@@ -428,19 +445,20 @@ def first_of_similar(
     rest = [n for n in names if n not in (id_col, text_col)]
     other = F.xxhash64(F.lit(1), *[F.to_json(F.struct(col(n))) if isinstance(docs.schema[n].dataType, (T.MapType, T.VariantType)) else col(n) for n in rest])
     plain = docs.select(key.alias("th"), place.alias("place"), text_of(col(text_col)).alias("_text"))
-    texts, links_ = similar_links(plain, shingle, similarity)
-    member = components(links_).join(texts, "node").select("th", "root", F.struct("place", "th").alias("_at"))
-    least = member.groupBy("root").agg(F.min("_at").alias("_least"))
-    later = stored(member.join(least, "root").where("_at <> _least").select("th", F.lit(True).alias("_later")), "later-copies")
     tag = free_name(docs, "_key")
-    marks = F.struct(key.alias("th"), place.alias("place"), other.alias("other"))
-    kinds = docs.select(marks.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    kinds = stored(kinds.select("k.*", "n"), "kinds")  # every kind of row, without its texts
-    first = kinds.groupBy("th").agg(F.min(F.struct("place", "other")).alias("_first"))
-    judged = kinds.join(first, "th").join(later, "th", "left")
-    stays = F.col("_later").isNull() & (F.struct("place", "other") == F.col("_first"))
-    judged = judged.select(F.struct("th", "place", "other").alias(tag), stays.alias("stays"), "n")
-    judged = stored(judged.where("not stays or n > 1"), "judged")
+    with temporary_tables(docs.sparkSession):  # the list of rows that go is all that stays
+        texts, links_ = similar_links(plain, shingle, similarity)
+        member = components(links_).join(texts, "node").select("th", "root", F.struct("place", "th").alias("_at"))
+        least = member.groupBy("root").agg(F.min("_at").alias("_least"))
+        later = stored(member.join(least, "root").where("_at <> _least").select("th", F.lit(True).alias("_later")), "later-copies")
+        marks = F.struct(key.alias("th"), place.alias("place"), other.alias("other"))
+        kinds = docs.select(marks.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+        kinds = stored(kinds.select("k.*", "n"), "kinds")  # every kind of row, without its texts
+        first = kinds.groupBy("th").agg(F.min(F.struct("place", "other")).alias("_first"))
+        judged = kinds.join(first, "th").join(later, "th", "left")
+        stays = F.col("_later").isNull() & (F.struct("place", "other") == F.col("_first"))
+        judged = judged.select(F.struct("th", "place", "other").alias(tag), stays.alias("stays"), "n")
+        judged = stored(judged.where("not stays or n > 1"), "judged")
     rows = docs.withColumn(tag, marks)
     alone = rows.join(judged.select(tag), tag, "left_anti")
     twins = rows.join(judged.where("stays").select(tag), tag, "left_semi").dropDuplicates([tag])
