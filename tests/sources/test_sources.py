@@ -124,6 +124,31 @@ def test_report_dump(spark, tmp_path):
     assert changes is None and report.check_drift(report.shape(only), base, "2")[0].count() == 0
 
 
+def test_block_index_passes_over_marks_in_text(tmp_path):
+    ns = "http://pa.cellebrite.com/report/2.0"
+    model = lambda i, text: f'<model type="A" id="{i}"><field name="T"><value><![CDATA[{text}]]></value></field></model>'
+    pad = "x" * (1 << 20)  # marks on both sides of the pieces that are read
+    text = f"""<?xml version="1.0"?><project xmlns="{ns}"><decodedData><!-- <modelType type="C"> --><modelType type="A">{model(1, '</modelType><modelType type="B">')}{model(2, pad)}</modelType>
+<modelType type="Empty"/><modelType type='B'><model type="B" id="3"/></modelType></decodedData><extraInfos><extraInfo id="2"><sourceInfo><nodeInfo path="/p" name="n"/></sourceInfo></extraInfo></extraInfos></project>"""
+    (tmp_path / "report.xml").write_text(text)
+    e = entry(tmp_path)
+    head, blocks, sources = readers.block_index(e)
+    assert head.startswith(b"<project") and [k for k, _, _ in blocks] == ["A", "B"] and text[sources:].startswith("<extraInfos")
+    assert all(text[a:b].startswith("<modelType") and text[a:b].endswith("</modelType>") for _, a, b in blocks)
+    assert [m.get("id") for _, a, b in blocks for m in readers.block_models(e, head, a, b)] == ["1", "2", "3"]
+    assert [m.get("id") for m in readers.report_models(e, "B")] == ["3"] and list(readers.source_entries(e)) == [("2", "/p", "n", None, None, None)]
+
+
+def test_staging(tmp_path):
+    assert [readers.copied(s, "primary") for s in readers.STAGING] == [True, False, True] and not readers.copied("tier", "secondary")
+    with pytest.raises(ValueError):
+        readers.copied("sometimes", None)
+    database(tmp_path / "d.sqlite")
+    e, s = entry(tmp_path), Selector("sqlite", name="d.sqlite", table="LOC")
+    assert [list(readers.table_of(e, s, False, copy)[1]()) for copy in (True, False)] == [[["1", "1.5", "2.5", "10.0"]] * 2] * 2
+    assert load_settings(None, staging="tier").staging == "tier"
+
+
 def test_folder_and_archive_are_alike(spark, tmp_path):
     tree = tmp_path / "tree" / "fs" / "private"
     tree.mkdir(parents=True)
