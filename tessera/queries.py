@@ -442,7 +442,7 @@ def namespace_and_safe_name(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", scalars.xml_namespace(F.col("html")).alias("namespace"), scalars.safe_name(F.col("url")).alias("safe"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, NULL::INTEGER AS position, NULL::VARCHAR AS attribute, NULL::VARCHAR AS description FROM pages""")
 def html_tables(spark, sf_dir):
     from .sources.html import attribute_tables
 
