@@ -156,18 +156,15 @@ def _train(x: np.ndarray, slope, units: int, rounds: int, batch: int, groups: tu
     return tuple(w)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from the scores of a positive-against-unlabelled model.
+def estimate_prior(p: np.ndarray, n_positive: int, u: np.ndarray, n_unlabelled: int) -> float:
+    """Share of positives among the unlabelled, from the shares p and u of both groups that score above each of some cuts.
 
-    Above a threshold where all are positive, the ratio of the two groups' shares is
-    the prior; elsewhere it is larger. The least upper bound over thresholds is taken
-    (best bin estimation), each ratio widened by its sampling error.
+    Above a cut where all are positive, the ratio of the two shares is the prior;
+    elsewhere it is larger. The least upper bound over cuts is taken (best bin
+    estimation), each ratio widened by its sampling error.
     """
-    cuts = np.quantile(positive, np.linspace(0.02, 0.9, 45))
-    p = (positive[None, :] >= cuts[:, None]).mean(1)
-    u = (unlabelled[None, :] >= cuts[:, None]).mean(1)
-    bound = (u + np.sqrt(np.log(40) / (2 * len(unlabelled)))) / np.maximum(p, 1e-9)
-    best = int(np.argmin(bound + np.sqrt(np.log(40) / (2 * len(positive))) / np.maximum(p, 1e-9)))
+    bound = (u + np.sqrt(np.log(40) / (2 * n_unlabelled))) / np.maximum(p, 1e-9)
+    best = int(np.argmin(bound + np.sqrt(np.log(40) / (2 * n_positive)) / np.maximum(p, 1e-9)))
     return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
@@ -188,33 +185,86 @@ def risk_slope(prior: float):
     return slope
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, units: int = 24, rounds: int = 1500, batch: int = 512, seed: int = 7) -> Model:
-    """Learn from feature rows of trusted positives and of unlabelled texts."""
-    x = np.concatenate((positive, unlabelled))
-    centre, scale = x.mean(0), x.std(0) + 1e-6
-    x = np.clip((x - centre) / scale, -8, 8)
-    groups = (np.arange(len(positive)), np.arange(len(positive), len(x)))
+def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.mean(0), x.std(0) + 1e-6
+
+
+@dataclass(frozen=True)
+class Half:
+    """What the prior of one half of the texts is estimated with: a model of positives against
+    unlabelled texts of the *other* half (a model's own positives would look too good), cuts on its scores,
+    and the share of this half's positives above each."""
+
+    model: Model
+    cuts: np.ndarray
+    shares: np.ndarray
+    n_positive: int
+
+    def above(self, x: np.ndarray) -> np.ndarray:
+        """How many rows score above each cut, then how many there are."""
+        scores = np.sort(self.model.score(x))
+        return np.append(len(scores) - np.searchsorted(scores, self.cuts, "left"), len(scores))
+
+    def prior(self, above: np.ndarray) -> float:
+        return estimate_prior(self.shares, self.n_positive, above[:-1] / above[-1], int(above[-1]))
+
+
+def halves(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = 300, batch: int = 512, seed: int = 7) -> list[Half]:
+    """Both halves' estimators; if a half lacks either group, each is made of all rows."""
+    if min(map(len, [*positive, *unlabelled])) == 0:
+        positive, unlabelled = ([np.concatenate(g)] * 2 for g in (positive, unlabelled))
 
     def against(z, n):
         return np.concatenate(((_sigmoid(z[:n]) - 1) / n, _sigmoid(z[n:]) / (len(z) - n)))
 
-    # each half is scored by a model of the other: a model's own positives would look too good
-    parts = [[g[i::2] for g in groups] for i in range(2)]
-    priors = []
-    for own, other in (parts, parts[::-1]):
-        if min(map(len, [*own, *other])) == 0:
-            own, other = groups, groups
-        w = _train(x, against, 4, min(rounds // 3, 300), batch, tuple(other), seed, 1e-2)
-        priors.append(estimate_prior(*[_hidden(x[g], w) @ w[2] + w[3] for g in own]))
-    prior = float(np.mean(priors))
+    centre, scale = _standard(np.concatenate((*positive, *unlabelled)))
+    out = []
+    for i in range(2):
+        p, u = positive[1 - i], unlabelled[1 - i]
+        x = np.clip((np.concatenate((p, u)) - centre) / scale, -8, 8)
+        w = _train(x, against, 4, rounds, batch, (np.arange(len(p)), np.arange(len(p), len(x))), seed, 1e-2)
+        model = Model(centre, scale, w, float("nan"))
+        own = model.score(positive[i])
+        cuts = np.quantile(own, np.linspace(0.02, 0.9, 45))
+        out.append(Half(model, cuts, (own[None, :] >= cuts[:, None]).mean(1), len(own)))
+    return out
 
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, units: int = 24, rounds: int = 1500, batch: int = 512, seed: int = 7) -> Model:
+    """Learn from feature rows of trusted positives and of unlabelled texts; without a prior, that of the unlabelled rows."""
+    if prior is None:
+        parts = [unlabelled[i::2] for i in range(2)]
+        found = halves([positive[i::2] for i in range(2)], parts, min(rounds // 3, 300), batch, seed)
+        prior = float(np.mean([h.prior(h.above(x)) for h, x in zip(found, parts) if len(x)]))
+    x = np.concatenate((positive, unlabelled))
+    centre, scale = _standard(x)
+    x = np.clip((x - centre) / scale, -8, 8)
+    groups = (np.arange(len(positive)), np.arange(len(positive), len(x)))
     return Model(centre, scale, _train(x, risk_slope(prior), units, rounds, batch, groups, seed + 1, DECAY), prior)
 
 
 def _sample(rows: DataFrame, keys: list, bound: int, seed: int) -> DataFrame:
     """At most about `bound` rows, chosen by a hash of their keys."""
     share = min(1.0, bound / max(rows.count(), 1))
-    return rows.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) < F.lit(int(share * (1 << 53))))
+
+
+def _class_prior(texts: DataFrame, found: list[Half]) -> float:
+    """The prior over all rows of (half, text): every text is scored, each task sends its counts above the cuts."""
+
+    def run(batches):
+        sums = [np.zeros(len(h.cuts) + 1, np.int64) for h in found]
+        for b in batches:
+            x, half = features(b.column(1).cast(pa.binary())), b.column(0).to_numpy(zero_copy_only=False)
+            for i, h in enumerate(found):
+                sums[i] += h.above(x[half == i])
+        half, cut = (np.concatenate(c) for c in zip(*((np.full(len(s), i), np.arange(len(s))) for i, s in enumerate(sums))))
+        yield pa.RecordBatch.from_arrays([pa.array(half, pa.int32()), pa.array(cut, pa.int32()), pa.array(np.concatenate(sums))], names=["half", "cut", "n"])
+
+    sums = [np.zeros(len(h.cuts) + 1, np.int64) for h in found]
+    for r in texts.mapInArrow(run, "half int, cut int, n long").groupBy("half", "cut").agg(F.sum("n").alias("n")).collect():
+        sums[r.half][r.cut] = r.n
+    return float(np.mean([h.prior(s) for h, s in zip(found, sums) if s[-1]]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, bound: int = 6000, seed: int = 11) -> Model | None:
@@ -222,25 +272,32 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Trusted are rows of `labels` with quality 1 whose crc32(id) modulo `folds` is not
     0; no other label is read. The two samples' ids (bounded, whatever the corpus) are
-    broadcast, and only the features of those texts come to the driver. None if there
-    is no trusted positive with a text.
+    broadcast, and only the features of those texts come to the driver: one row an id,
+    of an id's several texts the least. The class prior is counted over all texts, null and
+    empty ones, those without an id and repeated rows included; very long ones are taken in
+    blocks. None if there is no trusted positive with a text, so for an empty table.
     """
     trusted = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     trusted = _sample(trusted.where(fold_of(F.col("_id"), folds) != 0), ["_id"], bound, seed).select("_id", F.lit(1).alias("_trusted"))
     ids = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
     plain = _sample(ids, ["_id"], bound, seed + 1).distinct().select("_id", F.lit(0).alias("_trusted"))
     chosen = trusted.unionByName(plain)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_trusted", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.lit(2)).cast("int").alias("_half"), text_of(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_trusted", "_half", "_text")
 
     def run(batches):
         for b in batches:
-            x = features(b.column(1).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["trusted", "x"])
-
-    found = rows.mapInArrow(run, "trusted int, x array<double>").toPandas()
-    groups = [np.array(found.x[found.trusted == t].tolist()).reshape(-1, N_FEATURES) for t in (1, 0)]
-    groups = [g[np.lexsort(g.T)] for g in groups]  # the same model whatever the order of arrival
-    return fit(*groups) if min(map(len, groups)) else None
+            x = features(b.column(3).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], names=["id", "trusted", "half", "x"])
+
+    schema = T.StructType([T.StructField("id", rows.schema["_id"].dataType), *T._parse_datatype_string("trusted int, half int, x array<double>").fields])
+    found = rows.mapInArrow(run, schema).groupBy("id", "trusted", "half").agg(F.min("x").alias("x")).drop("id").toPandas()
+    parts = [[np.array(found.x[(found.trusted == t) & (found.half == h)].tolist()).reshape(-1, N_FEATURES) for h in range(2)] for t in (1, 0)]
+    parts = [[g[np.lexsort(g.T)] for g in p] for p in parts]  # the same model whatever the order of arrival
+    positive, unlabelled = map(np.concatenate, parts)
+    if not len(positive) or not len(unlabelled):
+        return None
+    return fit(positive, unlabelled, _class_prior(texts.select("_half", "_text"), halves(*parts)))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -120,6 +120,22 @@ def test_classifier_over_odd_rows(spark):
     assert qc.score(odd, model, keep=["a.b"]).columns == ["a.b", "score"]
 
 
+def test_prior_counts_every_text_and_repeated_ids_count_once(spark, monkeypatch):
+    good, bad = "A calm sentence of plain words follows here. ", "BUY ||| NOW !!! ### "
+    rows = [(i, (good if i % 4 == 0 else bad) * (1 + i % 7)) for i in range(400)] + [(None, bad), (3, None), (0, good), *[(8, good * 2)] * 500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int")
+    seen, inner, sampled = [], qc._class_prior, qc.fit
+    monkeypatch.setattr(qc, "_class_prior", lambda texts, found: seen.append((texts.collect(), found, inner(texts, found))) or seen[0][2])
+    monkeypatch.setattr(qc, "fit", lambda p, u, prior: seen.append((len(p), len(u))) or sampled(p, u, prior, rounds=30))
+    model = qc.learn(docs, labels)
+    (texts, found, prior), (positives, plain) = seen
+    want = [h.prior(h.above(qc.features(pa.array([r._text.encode() for r in texts if r._half == i], pa.binary())))) for i, h in enumerate(found)]
+    assert len(texts) == len(rows) and model.prior == prior and abs(prior - sum(want) / 2) < 1e-12
+    trusted = {i for i in range(0, 200, 4) if zlib.crc32(str(i).encode()) % 5}
+    assert positives == len(trusted) and plain == 400
+
+
 def brute_rules(rows, limit):
     lines = Counter()
     for key in {(i, h, t or "") for i, h, t in rows}:
