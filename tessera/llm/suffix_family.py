@@ -44,18 +44,18 @@ class SuffixFamily:
         top = b"\xff" * (self.length - self.core + 1)
         for core, same in groupby(fresh, key=lambda e: e[0][: self.core]):
             group = list(same)
-            self._match(group)
+            self.match(group)
             for level in self.levels:
                 lo = bisect_left(level, (core,))
                 hi = bisect_left(level, (core + top,), lo)
                 if lo < hi:
-                    self._match(sorted(level[lo:hi] + group))
+                    self.match(sorted(level[lo:hi] + group))
         self.levels.append(fresh)
         while len(self.levels) > 1 and len(self.levels[-2]) <= len(self.levels[-1]):
             last = self.levels.pop()
             self.levels[-1] = sorted(self.levels[-1] + last)  # two sorted runs: one linear merge
 
-    def _match(self, group: list[Entry]) -> None:
+    def match(self, group: list[Entry]) -> None:
         """Marks the windows shared within entries of one core, in suffix order.
 
         Neighbours are joined from the longest common prefix down, the smaller set

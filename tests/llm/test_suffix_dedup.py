@@ -6,6 +6,7 @@ import pytest
 
 from tessera.llm.suffix_dedup import suffix_dedup, without_repeats
 from tessera.llm.suffix_family import SuffixFamily, common_prefix, runs
+from tessera.llm.suffix_index import SuffixIndex
 
 
 def brute(texts, length):
@@ -97,3 +98,37 @@ def test_rows_without_repeats_stay_though_they_are_blank(spark):
     out = {r.doc_id: r.text for r in without_repeats(df, length=200).collect()}
     assert {i: out.get(i, "gone") for i in (1, 2, 3, 4, 5, 7, 8)} == {1: None, 2: "", 3: " \t\n", 4: "gone", 5: "gone", 7: "short", 8: ""}
     assert out[6].endswith("and more") and passage not in out[6]
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_stored_family_over_batches_equals_brute_force(spark, tmp_path, hot):
+    texts = [*corpus(2), None]
+    random.Random(3).shuffle(texts)
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    index = SuffixIndex(spark, f"file://{tmp_path}/family", length=60, k=24, hot=hot)
+    ends = (0, 20, 45, 45, 70, len(rows))
+    for n, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        index.add(spark.createDataFrame(rows[lo:hi], "doc_id long, text string, th string").repartition(3))
+        if n in (1, 4):  # old texts too learn what a later batch repeats
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in index.report(spark.createDataFrame(rows[:hi], "doc_id long, text string, th string")).collect()}
+            assert got == dict(enumerate(brute([(t or "").encode() for t in texts[:hi]], 60)))
+        sizes = index.levels()
+        assert all(a > b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= n + 1
+    assert sum(v[1] for v in got.values()) > 5000
+
+
+def test_a_failed_batch_leaves_the_stored_family_as_it_was(spark, tmp_path, monkeypatch):
+    passage = " ".join(str(i * 7919) for i in range(80))
+    index = SuffixIndex(spark, f"file://{tmp_path}/family")
+    assert index.levels() == []
+    one = spark.createDataFrame([(1, passage)], "doc_id long, text string")
+    two = spark.createDataFrame([(2, f"new {passage}")], "doc_id long, text string")
+    index.add(one)
+    levels = index.levels()
+    with monkeypatch.context() as m:
+        m.setattr(SuffixIndex, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.add(two)
+    assert index.levels() == levels and index.report(one).first().n_removed == 0
+    index.add(two)
+    assert index.report(one).first().n_removed == len(passage) and index.report(two).first().n_removed == len(passage)
