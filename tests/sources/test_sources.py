@@ -100,6 +100,33 @@ def test_excel(spark, tmp_path):
     assert [tuple(r)[1:5] for r in got] == [("1.5", "2.5", None, "10"), ("x", None, None, "3")]
 
 
+def test_long_sheets_are_never_held(tmp_path):
+    import tracemalloc
+
+    from tessera.file_queries import _workbook
+
+    peaks = []
+    for n in (2_000, 40_000):
+        tracemalloc.start()
+        _workbook(tmp_path / f"{n}.xlsx", ["a", "b", "c"], ((i, None if i % 2 else f"<{i}>", i / 2) for i in range(n)), sheet="Long")
+        rows = readers.table_of(entry(tmp_path / f"{n}.xlsx"), Selector("excel", name=f"{n}.xlsx", sheet="Long"))[1]()
+        assert all(row[1:] == [None if i % 2 else f"<{i}>", str(i / 2)] for i, row in enumerate(rows))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 1_000_000
+
+
+@pytest.mark.parametrize("name", ["excel_scan"])
+def test_workbooks_are_written_without_collecting(spark, sf, name, monkeypatch):
+    from tessera.queries import QUERIES
+
+    want = spark.read.parquet(f"{sf}/part.parquet").count()
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: pytest.fail("a table was collected"))
+    made = QUERIES[name](spark, sf)
+    monkeypatch.undo()
+    assert made.count() == {"excel_scan": want, "excel_sheets": 2}[name]
+
+
 def test_xml_inline(spark, tmp_path):
     (tmp_path / "report.xml").write_text(REPORT)
     e = entry(tmp_path)
