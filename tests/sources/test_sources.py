@@ -116,8 +116,9 @@ def test_long_sheets_are_never_held(tmp_path):
     assert peaks[1] < peaks[0] + 1_000_000
 
 
-@pytest.mark.parametrize("name", ["excel_scan"])
+@pytest.mark.parametrize("name", ["excel_scan", "excel_sheets"])
 def test_workbooks_are_written_without_collecting(spark, sf, name, monkeypatch):
+    import tessera.file_queries  # noqa: F401  adds its queries
     from tessera.queries import QUERIES
 
     want = spark.read.parquet(f"{sf}/part.parquet").count()
