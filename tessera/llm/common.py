@@ -56,6 +56,18 @@ def temporary_tables(spark: SparkSession):
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs within passes at most `rows` rows at once to Python, however many the session allows; only memory depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (never a local one)."""
     if not df.sparkSession.sparkContext.getCheckpointDir():

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col, cols
-from .common import free_name, stored, temporary_tables, text_key, text_of
+from .common import free_name, small_batches, stored, temporary_tables, text_key, text_of
 from .graph import components
 from .textscan import LOWER, mix, word_blocks, word_bounds, word_hashes
 
@@ -259,13 +259,16 @@ def prefixes(bounds: np.ndarray, shingles: np.ndarray, similarity: float, common
 _FILTER_BITS = 1 << 22
 
 
-def _filter_of(slots: DataFrame) -> np.ndarray:
-    """A bitmap of the slots: bounded, whatever their number; a full one lets everything through."""
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(_FILTER_BITS // 64, np.uint64)
-    for w in words:
-        out[w["word"]] = w["bits"] % (1 << 64)
-    return out
+def _asked_texts(plain: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those texts (th, _text) whose key falls on a slot of the asked keys: all that are asked and few others.
+
+    The filter has 2^16 words at most, whatever the number of keys, so it can be
+    broadcast; a full one lets everything through. Other texts never leave the JVM.
+    """
+    slot = F.pmod(F.xxhash64("th"), F.lit(_FILTER_BITS)).alias("slot")
+    words = asked.select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    found = plain.select("th", slot, "_text").join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word"))
+    return found.where(F.expr("shiftrightunsigned(bits, cast(slot % 64 as int)) & 1 = 1")).select("th", "_text")
 
 
 def _similar(similarity: float):
@@ -282,21 +285,15 @@ def _verified(plain: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int
     """Those of the stored pairs (u, v) of texts whose shingle sets are similar; only texts of some pair are shingled."""
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     asked = stored(texts.select("node", "th").join(asked, "node"), "asked")
-    slot = F.pmod(F.xxhash64("th"), F.lit(_FILTER_BITS)).alias("slot")
-    wanted = _filter_of(asked.select(slot))
 
     def sets(batches):
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array(((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
-            if not len(batch):
-                continue
-            for lo, bounds, found, _ in sketches(batch.column(2).cast(pa.binary()), shingle, False):
+            for lo, bounds, found, _ in sketches(batch.column(1).cast(pa.binary()), shingle, False):
                 n = len(bounds) - 1
                 blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(found)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), blobs], names=["th", "shingles"])
 
-    named = plain.select("th", slot, "_text").mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
+    named = _asked_texts(plain, asked).mapInArrow(sets, "th binary, shingles binary").dropDuplicates(["th"])
     named = stored(named.join(asked, "th").select("node", "shingles"), "shingles")
     mine, others = named.select(F.col("node").alias("u"), F.col("shingles").alias("a")), named.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     return stored(pairs.join(mine, "u").join(others, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"), "links")
@@ -446,7 +443,7 @@ def first_of_similar(
     other = F.xxhash64(F.lit(1), *[F.to_json(F.struct(col(n))) if isinstance(docs.schema[n].dataType, (T.MapType, T.VariantType)) else col(n) for n in rest])
     plain = docs.select(key.alias("th"), place.alias("place"), text_of(col(text_col)).alias("_text"))
     tag = free_name(docs, "_key")
-    with temporary_tables(docs.sparkSession):  # the list of rows that go is all that stays
+    with temporary_tables(docs.sparkSession), small_batches(docs.sparkSession):  # the list of rows that go is all that stays
         texts, links_ = similar_links(plain, shingle, similarity)
         member = components(links_).join(texts, "node").select("th", "root", F.struct("place", "th").alias("_at"))
         least = member.groupBy("root").agg(F.min("_at").alias("_least"))

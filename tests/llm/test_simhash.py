@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import graph, simhash
 
@@ -217,3 +218,24 @@ def test_a_large_group_of_edited_copies(spark):
     want = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.first_of_similar(df).collect()) == sorted(set(want)) and 30 < len(set(want)) < 100
+
+
+def test_only_asked_texts_go_to_python_in_small_batches(spark):
+    from tessera.llm.common import small_batches, text_key
+    from tessera.llm.simhash import _asked_texts
+
+    plain = spark.range(5000).select(F.concat(F.lit("text "), "id").alias("_text")).withColumn("th", text_key(F.col("_text"))).coalesce(1)
+    asked = plain.where("_text like '%77'").select("th")
+    found = _asked_texts(plain, asked)
+    assert 50 <= found.count() < 70 and asked.exceptAll(found.select("th")).count() == 0
+    assert _asked_texts(plain, asked.limit(0)).count() == 0 and _asked_texts(plain, plain.select("th")).count() == 5000
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, many = spark.conf.get(name), plain.mapInArrow(sizes, "n long")
+    with small_batches(spark):
+        assert max(r.n for r in many.collect()) == 1000
+    assert spark.conf.get(name) == before and max(r.n for r in many.collect()) == 5000
