@@ -65,7 +65,7 @@ def text_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_docs: int = 10, least_kept: float = 0.3,
+    max_docs: int = 10, least_kept: float = 0.3, texts: bool = False,
 ) -> DataFrame:
     """Statistics and verdict per row: id, the five counts, base_failed, removed_words, kept.
 
@@ -74,7 +74,8 @@ def quality_rules(
     `least_kept` of its words is depleted. kept is false for a document that fails
     the base rules (under 50 words, or over half of them in repeated windows) or is
     depleted. A null host is a host of its own; rows equal in id, host and text are one
-    document, each of which gets its result; an empty table gives no rows.
+    document, each of which gets its result; an empty table gives no rows. With `texts` the
+    text without its removed lines follows as kept_text (a null one is empty).
     """
     key = F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x1e")), F.coalesce(host_col, F.lit("\x1e")), text_of(text_col)).cast("binary")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), text_of(text_col).alias("_text"), key.alias("_key"))
@@ -86,14 +87,16 @@ def quality_rules(
     )
     common = lines.groupBy("_hash").agg(F.countDistinct("_key").alias("_docs")).where(F.col("_docs") >= max_docs).select("_hash")
     removed = lines.join(common, "_hash").groupBy("_key").agg(F.collect_set(F.struct("_pos", "_n")).alias("_gone"))
-    removed = removed.select("_key", F.aggregate("_gone", F.lit(0).cast("long"), lambda s, x: s + x["_n"]).alias("_removed"))
-    stats = text_statistics(rows, ["_id", "_key"], "_text").join(removed, "_key", "left")
+    removed = removed.select("_key", F.aggregate("_gone", F.lit(0).cast("long"), lambda s, x: s + x["_n"]).alias("_removed"), F.col("_gone._pos").alias("_places"))
+    stats = text_statistics(rows, ["_id", "_key", *["_text"] * texts], "_text").join(removed, "_key", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     gone = F.coalesce("_removed", F.lit(0).cast("long"))
+    left = F.array_join(F.filter(F.split("_text", "\n", -1), lambda line, i: ~F.array_contains("_places", i)), "\n")
     return stats.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), gone.alias("removed_words"),
         (~failed & (F.col("n_words") - gone >= F.lit(least_kept) * F.col("n_words"))).alias("kept"),
+        *[F.when(F.col("_places").isNull(), F.col("_text")).otherwise(left).alias("kept_text")] * texts,
     )
 
 

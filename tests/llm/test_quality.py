@@ -174,3 +174,10 @@ def test_rules_equal_brute_force(spark):
     for limit in (3, 10):
         assert sorted((tuple(r) for r in quality_rules(df, max_docs=limit).collect()), key=str) == brute_rules(rows, limit)
     assert quality_rules(df.limit(0)).count() == 0
+
+
+def test_common_lines_are_taken_out_of_texts(spark):
+    rows = [(i, "h", f"own {i}\n  Shared\tline \n\nend {i}") for i in range(3)] + [(3, "g", "shared line"), (4, "h", None), (5, "h", "shared line")]
+    found = quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_docs=4, texts=True)
+    left = {r.doc_id: (r.kept_text, r.removed_words) for r in found.collect()}
+    assert left == {**{i: (f"own {i}\n\nend {i}", 2) for i in range(3)}, 3: ("shared line", 0), 4: ("", 0), 5: ("", 2)}
